@@ -258,3 +258,17 @@ def oldest(df: DataFrame, keys: list[str], order: list[str | Column], cols: list
         .agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row"))
         .select(*keys, *[F.col(f"_row.{x}").alias(x) for x in names])
     )
+
+
+def previous(df: DataFrame, items: dict[str, Column], layout: Layout = DAILY) -> DataFrame:
+    """The last non-NULL value before each row, however far back it lies."""
+    keys = list(layout.keys)
+    marked = df.withColumn(CELL, time_cell(layout.time, layout.span))
+    order = F.struct(*layout.order)
+    cells = marked.groupBy(*keys, CELL).agg(*[F.max_by(v, F.when(v.isNotNull(), order)).alias(f"_t_{n}") for n, v in items.items()])
+    cw = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.select(*keys, CELL, *[F.last(f"_t_{n}", ignorenulls=True).over(cw).alias(f"_c_{n}") for n in items])
+    w = Window.partitionBy(*keys, CELL).orderBy(*layout.order).rowsBetween(Window.unboundedPreceding, -1)
+    out = marked.join(carry, [*keys, CELL])
+    out = out.withColumns({n: F.coalesce(F.last(v, ignorenulls=True).over(w), F.col(f"_c_{n}")) for n, v in items.items()})
+    return out.drop(CELL, *[f"_c_{n}" for n in items])
