@@ -1,2 +1,160 @@
-def stage(b, params=None): return []
-def prepare(df, p, c): return df
+"""Scored text events and decayed sentiment windows on a bar timeline."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as L
+from ..functions import text as X
+from ..functions.expr import first_alias, flag
+from .asof import asof_join
+from .dedupe import dedupe_near_identical
+from .series import DAY, Layout, blocked, full, lag
+
+
+@dataclass(frozen=True)
+class SentimentConfig:
+    similarity: float = 0.9
+    dedupe_hours: int = 48
+    windows: tuple[str, ...] = ("4H", "1D")
+    spike_lookback: int = 20
+    half_life_minutes: float = 360.0
+    default_weight: float = L.DEFAULT_SOURCE_WEIGHT
+    social_multiplier: float = L.SOCIAL_MULTIPLIER
+    include_unlinked: bool = True
+    credibility: dict = field(default_factory=dict)
+    positive: tuple[str, ...] = tuple(L.HEADLINE_POSITIVE)
+    negative: tuple[str, ...] = tuple(L.HEADLINE_NEGATIVE)
+
+
+def window_seconds(token: str) -> int:
+    """`15m`, `4H`, `1D`, `2w` as seconds."""
+    unit = {"m": 60, "h": 3600, "d": DAY, "w": 7 * DAY}[token.strip()[-1].lower()]
+    return int(float(token.strip()[:-1]) * unit)
+
+
+def text_rows(news: DataFrame | None, social: DataFrame | None = None) -> DataFrame:
+    """News and social frames under one set of columns."""
+    parts = []
+    for df, channel, texts, sources, missing in ((news, "news", ["headline", "title", "text"], ["source"], "news_unknown"),
+                                                 (social, "social", ["text", "headline", "title"], ["source", "platform"], "social_unknown")):
+        if df is None:
+            continue
+        s = first_alias(df.columns, sources)
+        k = first_alias(df.columns, ["ticker", "symbol", "provided_ticker"])
+        who = F.upper(F.col(k).cast("string")) if k else F.lit(None).cast("string")
+        extra = [F.col(x) for x in ("doc_id",) if x in df.columns]
+        parts.append(df.select(
+            F.col("timestamp"), F.col(first_alias(df.columns, texts)).cast("string").alias("text"),
+            (F.lower(F.trim(F.col(s))) if s else F.lit(missing)).alias("source"), F.when(~who.isin("NAN", "NONE", ""), who).alias("provided_ticker"),
+            F.lit(channel).alias("channel"), *extra))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.filter(F.col("timestamp").isNotNull())
+
+
+def score_events(rows: DataFrame, cfg: SentimentConfig = SentimentConfig(), universe: list[str] | None = None) -> DataFrame:
+    """Linked tickers, sentiment score and label, and source weight."""
+    linked = X.extract_tickers("text", universe)
+    given = F.col("provided_ticker")
+    ok = given.isNotNull() & (given.isin(universe) if universe is not None else F.lit(True))
+    d = rows.withColumns({"_l": linked, "sentiment_score": X.lexicon_score("text", cfg.positive, cfg.negative)})
+    d = d.withColumn("linked_tickers", F.when(ok & ~F.array_contains("_l", F.coalesce(given, F.lit(""))), F.concat(F.array(given), F.col("_l"))).otherwise(F.col("_l")))
+    return d.withColumns({
+        "sentiment_label": X.three_way(F.col("sentiment_score"), 0.08), "primary_ticker": F.try_element_at("linked_tickers", F.lit(1)),
+        "source_weight": X.source_weight("source", "channel", cfg.credibility, cfg.default_weight, cfg.social_multiplier),
+    }).drop("_l")
+
+
+def process_texts(news, social=None, cfg: SentimentConfig = SentimentConfig(), universe: list[str] | None = None) -> DataFrame:
+    """Union, near-duplicate removal, scoring."""
+    rows = text_rows(news, social)
+    if "doc_id" not in rows.columns:
+        rows = rows.withColumn("doc_id", F.xxhash64("timestamp", "text", "source", F.coalesce("provided_ticker", F.lit("")), "channel"))
+    kept = dedupe_near_identical(rows, id_col="doc_id", threshold=cfg.similarity, window_hours=cfg.dedupe_hours)
+    return score_events(rows.join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), cfg, universe)
+
+
+def _flip(c) -> Column:
+    """Time mirrored about the epoch: turns `first at or after` into as-of."""
+    return F.timestamp_micros(-F.unix_micros(c))
+
+
+def decayed_sums(timeline: DataFrame, events: DataFrame, win: int, half_life_minutes: float, key: str = "symbol") -> DataFrame:
+    """Per (key, timestamp): count and decayed sums over events in (t-win, t].
+
+    Events are first combined per pair of (first stamp that sees them, first
+    stamp that no longer does); all of them decay alike between stamps.  Only
+    those sums are spread over the stamps in between, so the spread does not
+    grow with the number of events.
+    """
+    tl = timeline.select(key, "timestamp").distinct().withColumn("_n", _flip("timestamp"))
+    ev = events.select(key, F.col("timestamp").alias("s"), F.col("source_weight").alias("w"), F.col("sentiment_score").alias("v"))
+    ev = ev.withColumns({"_n": _flip("s")})
+    side = tl.select(key, "_n", F.col("timestamp").alias("t"))
+    a = asof_join(ev, side, prefix="i", keys=(key,), time="_n").withColumnRenamed("i__t", "t_in").drop("i__asof_timestamp")
+    a = a.filter(F.col("t_in").isNotNull() & (F.unix_micros("t_in") < F.unix_micros("s") + win * 1_000_000))
+    a = a.withColumn("_n", _flip(F.timestamp_micros(F.unix_micros("s") + win * 1_000_000)))
+    a = asof_join(a, side, prefix="o", keys=(key,), time="_n").withColumnRenamed("o__t", "t_out")
+    rate = -math.log(2.0) / (half_life_minutes * 60.0 * 1e6)
+    decay = F.exp((F.unix_micros("t_in") - F.unix_micros("s")) * F.lit(rate)) * F.col("w")
+    g = a.groupBy(key, "t_in", "t_out").agg(F.count("*").alias("n"), F.sum(decay).alias("sw"), F.sum(decay * F.col("v")).alias("swv"), F.sum(decay * F.col("v") * F.col("v")).alias("swvv"))
+    cell = lambda c: F.floor(F.unix_micros(c) / F.lit(win * 1_000_000))
+    g = g.withColumn("_c", F.explode(F.array(cell("t_in"), cell("t_in") + 1)))
+    bars = tl.select(key, "timestamp", cell("timestamp").alias("_c"))
+    j = bars.join(g, [key, "_c"]).filter((F.col("timestamp") >= F.col("t_in")) & (F.col("t_out").isNull() | (F.col("timestamp") < F.col("t_out"))))
+    f = F.exp((F.unix_micros("timestamp") - F.unix_micros("t_in")) * F.lit(rate))
+    return j.groupBy(key, "timestamp").agg(F.sum("n").alias("n"), F.sum(F.col("sw") * f).alias("sw"), F.sum(F.col("swv") * f).alias("swv"), F.sum(F.col("swvv") * f).alias("swvv"))
+
+
+def sentiment_features(timeline: DataFrame, events: DataFrame, cfg: SentimentConfig = SentimentConfig(), layout: Layout = Layout(span=32 * DAY)) -> DataFrame:
+    """sent_* columns for every (symbol, timestamp) of the timeline."""
+    base = timeline.select("symbol", "timestamp").distinct()
+    linked = events.filter(F.col("primary_ticker").isNotNull()).withColumn("symbol", F.upper("primary_ticker"))
+    loose = events.filter(F.col("primary_ticker").isNull()).withColumn("symbol", F.lit("*"))
+    out = base
+    half = max(cfg.half_life_minutes, 1.0)
+    for w in cfg.windows:
+        win = window_seconds(w)
+        sums = decayed_sums(base, linked, win, half)
+        d = out.join(sums, ["symbol", "timestamp"], "left")
+        cols = ["n", "sw", "swv", "swvv"]
+        if cfg.include_unlinked:
+            # unlinked events count for every symbol: summed once per stamp
+            stamps = base.select(F.lit("*").alias("symbol"), "timestamp").distinct()
+            ls = decayed_sums(stamps, loose, win, half).select("timestamp", *[F.col(x).alias(f"l_{x}") for x in cols])
+            d = d.join(ls, "timestamp", "left").withColumns({x: F.coalesce(x, F.lit(0.0)) + F.coalesce(f"l_{x}", F.lit(0.0)) for x in cols}).drop(*[f"l_{x}" for x in cols])
+        else:
+            d = d.withColumns({x: F.coalesce(x, F.lit(0.0)) for x in cols})
+        mean = F.when(F.col("sw") > 1e-12, F.col("swv") / F.col("sw"))
+        d = d.withColumns({f"sent_sentiment_mean_w{w}": mean, f"sent_sentiment_vol_w{w}": F.sqrt(F.greatest(F.when(F.col("sw") > 1e-12, F.col("swvv") / F.col("sw")) - mean * mean, F.lit(0.0) * mean)),
+                           f"sent_attention_count_w{w}": F.col("n").cast("double"), f"sent_attention_weighted_w{w}": F.col("sw")})
+        out = d.drop(*cols)
+    n = max(cfg.spike_lookback, 1)
+    m = min(n, max(3, n // 2))
+    b = blocked(out, layout, back=n)
+    z = lambda x: (F.col(x) - full(b, F.col(x), n, F.avg, m)) / (full(b, F.col(x), n, F.stddev_samp, m) + 1e-9)
+    b.stage({k: v for w in cfg.windows for k, v in {
+        f"sent_sentiment_change_w{w}": F.col(f"sent_sentiment_mean_w{w}") - lag(b, f"sent_sentiment_mean_w{w}"),
+        f"sent_attention_z_w{w}": z(f"sent_attention_weighted_w{w}"), f"sent_sentiment_z_w{w}": z(f"sent_sentiment_mean_w{w}")}.items()})
+    hot = lambda w: F.coalesce(F.abs(f"sent_attention_z_w{w}") >= 2.0, F.lit(False)) | F.coalesce(F.abs(f"sent_sentiment_z_w{w}") >= 2.0, F.lit(False))
+    b.stage({f"sent_spike_flag_w{w}": flag(hot(w)) for w in cfg.windows})
+    return b.owned()
+
+
+def prepare(df: DataFrame, params: dict, context: dict) -> DataFrame:
+    news, social = context.get("headlines"), context.get("social")
+    if news is None and social is None:
+        return df
+    names = SentimentConfig.__dataclass_fields__
+    cfg = SentimentConfig(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in params.items() if k in names})
+    ev = context.get("scored_events")
+    ev = process_texts(news, social, cfg, context.get("ticker_universe")) if ev is None else ev
+    return df.join(sentiment_features(df, ev, cfg), ["symbol", "timestamp"], "left")
+
+
+def stage(b, params: dict | None = None) -> list[str]:
+    return [x for x in b.df.columns if x.startswith("sent_")]

@@ -272,3 +272,15 @@ def previous(df: DataFrame, items: dict[str, Column], layout: Layout = DAILY) ->
     out = marked.join(carry, [*keys, CELL])
     out = out.withColumns({n: F.coalesce(F.last(v, ignorenulls=True).over(w), F.col(f"_c_{n}")) for n, v in items.items()})
     return out.drop(CELL, *[f"_c_{n}" for n in items])
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an ungrouped aggregate) to df."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "_rank") -> DataFrame:
+    """First k rows per key.  The literal bound lets Spark cut every map-side
+    partition to k rows per key before the exchange, so a hot key stays small."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, flag, keep_if, safe_div
 from .asof import asof_join
-from .series import DAILY, EMA_BACK, IX, Blocked, Layout, blocked, ema_layers, full, lag, prior, running, slope, zscore
+from .ordered import exact_quantiles, melt
+from .series import DAILY, EMA_BACK, IX, Blocked, Layout, attach_row, blocked, ema_layers, full, lag, prior, running, slope, zscore
 
 YEAR = math.sqrt(252.0)
 col = F.col
@@ -239,25 +240,20 @@ PLUGIN_BACK = {
 
 def fit_scaler(df: DataFrame, features: list[str], method: str = "standard") -> DataFrame:
     """One row per feature: (feature, center, scale)."""
-    if method not in ("none", "standard", "robust"):
+    if method == "robust":
+        q = exact_quantiles(melt(df, features), ["feature"], "value", [0.25, 0.5, 0.75])
+        one = q.select("feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
+    elif method == "standard":
+        one = melt(df, features).groupBy("feature").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
+    elif method == "none":
+        one = melt(df, features).select("feature").distinct().select("feature", F.lit(0.0).alias("center"), F.lit(1.0).alias("scale"))
+    else:
         raise ValueError(f"unknown scaling method: {method}")
-    aggs = []
-    for i, f in enumerate(features):
-        if method == "standard":
-            c, s = F.avg(f), F.stddev_pop(f)
-        elif method == "robust":
-            q = F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            c, s = q[1], q[2] - q[0]
-        else:
-            c, s = F.lit(0.0), F.lit(1.0)
-        aggs.append(F.struct(F.lit(f).alias("feature"), c.alias("center"), s.alias("scale")).alias(f"_{i}"))
-    one = df.agg(*aggs)
-    return one.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(features))]))).withColumn(
-        "scale", F.when(F.col("scale") == 0, F.lit(1.0)).otherwise(F.col("scale")))
+    return one.withColumn("scale", F.when(F.col("scale") == 0, F.lit(1.0)).otherwise(F.col("scale")))
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
     """Scale with parameters fitted elsewhere; the one-row side is a broadcast."""
     row = scaler.groupBy().agg(*[F.max(F.when(F.col("feature") == f, F.struct("center", "scale"))).alias(f"_s_{f}") for f in features])
-    out = df.join(F.broadcast(row))
+    out = attach_row(df, row)
     return out.withColumns({f: (F.col(f) - F.col(f"_s_{f}.center")) / F.col(f"_s_{f}.scale") for f in features}).drop(*[f"_s_{f}" for f in features])

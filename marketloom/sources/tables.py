@@ -33,7 +33,8 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier: symbol, timestamp, open..volume."""
     li = load(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_quantity", line_price().alias("p"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", line_price().alias("p")).alias("k"),
+        # one sortable number (order, line, part) keeps min_by/max_by in a hash aggregate
+        F.expr("cast(l_orderkey * 8 + l_linenumber as decimal(19,0)) * 1000000000000BD + cast(l_partkey as decimal(12,0))").alias("k"),
     )
     day = li.groupBy("l_suppkey", "l_shipdate").agg(
         F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
