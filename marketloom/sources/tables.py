@@ -167,8 +167,8 @@ def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("i")
     q = p.select("*", legs).select("*", F.explode(F.array(F.lit("call"), F.lit("put"))).alias("type"))
     spot = F.col("p_retailprice") / 10.0
-    strike = F.round(spot * (0.9 + 0.05 * F.col("i")), 2)
-    bid = F.round(spot * 0.02 + (F.col("p_size") % 7) * 0.1, 2)
+    strike = spot * (0.9 + 0.045 * F.col("i"))
+    bid = spot * 0.02 + (F.col("p_size") % 7) * 0.1
     return q.select(
         F.col("p_partkey").alias("underlying"), "type", F.col("i").alias("rung"), spot.alias("spot"), strike.alias("strike"),
         F.when((F.col("p_partkey") + F.col("i")) % 11 != 0, bid).alias("bid"),
@@ -221,9 +221,9 @@ CTE = {
     "trades": """SELECT printf('S%05d', l_suppkey) AS symbol, l_shipdate AS ts, l_extendedprice * (l_discount - l_tax) AS pnl,
         l_extendedprice AS notional, l_returnflag AS strategy, l_linestatus AS regime, l_orderkey, l_linenumber FROM lineitem""",
     "quotes": """SELECT p_partkey AS underlying, t.type, i.i AS rung, p_retailprice / 10.0 AS spot,
-        round(p_retailprice / 10.0 * (0.9 + 0.05 * i.i), 2) AS strike,
-        CASE WHEN (p_partkey + i.i) % 11 <> 0 THEN round(p_retailprice / 10.0 * 0.02 + (p_size % 7) * 0.1, 2) END AS bid,
-        CASE WHEN (p_partkey + i.i) % 13 <> 0 THEN round(p_retailprice / 10.0 * 0.02 + (p_size % 7) * 0.1, 2) * 1.2 + 0.05 END AS ask,
+        p_retailprice / 10.0 * (0.9 + 0.045 * i.i) AS strike,
+        CASE WHEN (p_partkey + i.i) % 11 <> 0 THEN (p_retailprice / 10.0 * 0.02 + (p_size % 7) * 0.1) END AS bid,
+        CASE WHEN (p_partkey + i.i) % 13 <> 0 THEN (p_retailprice / 10.0 * 0.02 + (p_size % 7) * 0.1) * 1.2 + 0.05 END AS ask,
         CAST((p_partkey * 7 + i.i * 5) % 60 AS DOUBLE) AS volume, 0.15 + p_size * 0.005 + i.i * 0.01 AS iv
       FROM part, (VALUES ('call'), ('put')) t(type), range(5) i(i)""",
 }
