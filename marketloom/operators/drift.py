@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import exact_quantiles, melt, ordered_scan
 from .series import latest
 
@@ -103,7 +104,8 @@ def mean_shift(long: DataFrame) -> DataFrame:
 def drift_report(train: DataFrame, live: DataFrame, features: list[str] | None = None, cfg: DriftThresholds = DriftThresholds()) -> DataFrame:
     """One row per feature: statistics, level and reasons."""
     names = features or shared_numeric(train, live)
-    long = sided(train, live, names)
+    # four statistics read the same long table, so it is stored once
+    long = cut_lineage(sided(train, live, names))
     all_names = train.sparkSession.createDataFrame([(n,) for n in names], "feature string")
     counts = long.groupBy("feature").agg(F.sum(1 - F.col("live")).alias("train_samples"), F.sum("live").alias("live_samples"))
     d = all_names.join(counts, "feature", "left").fillna(0, ["train_samples", "live_samples"])
