@@ -71,10 +71,14 @@ def total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def word_sum(tokens: Column, words) -> Column:
-    """How many tokens are members of `words` (repeats count)."""
-    bag = F.array(*[F.lit(w) for w in sorted(words)])
-    return F.size(F.filter(tokens, lambda t: F.array_contains(bag, t)))
+def word_count(norm: Column, words) -> Column:
+    """Occurrences of whole words in a normalized (space separated) text."""
+    return F.regexp_count(norm, F.lit("(?<![a-z0-9])(?:" + "|".join(sorted(words)) + ")(?![a-z0-9])"))
+
+
+def token_count(norm: Column) -> Column:
+    """Number of words of a normalized text; 0 for the empty one."""
+    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
 
 
 def mid_price(bid, ask) -> Column:

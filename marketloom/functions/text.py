@@ -8,14 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .expr import c, clip, word_sum
+from .expr import c, clip, token_count, word_count
 
 EDGE = r"[\p{L}\p{N}_]"
 
 
 def normalize_text(x) -> Column:
-    t = F.lower(F.coalesce(c(x), F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    """Lower-case letters and digits, every other run of characters a space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c(x), F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def tokenize(x) -> Column:
@@ -57,16 +57,16 @@ def three_way(score: Column, edge: float) -> Column:
     return F.when(score > edge, "BULLISH").when(score < -edge, "BEARISH").otherwise("NEUTRAL")
 
 
-def lexicon_score(text, positive=L.HEADLINE_POSITIVE, negative=L.HEADLINE_NEGATIVE) -> Column:
+def lexicon_score(text, positive=L.HEADLINE_POSITIVE, negative=L.HEADLINE_NEGATIVE, normalized: bool = False) -> Column:
     """clip(4 (pos - neg) / (tokens + 2), -1, 1); 0 without tokens."""
-    tok = tokenize(text)
-    net = (word_sum(tok, positive) - word_sum(tok, negative)).cast("double")
-    return clip(net / (F.size(tok) + 2.0) * 4.0, -1.0, 1.0)
+    n = c(text) if normalized else normalize_text(text)
+    net = (word_count(n, positive) - word_count(n, negative)).cast("double")
+    return clip(net / (token_count(n) + 2.0) * 4.0, -1.0, 1.0)
 
 
-def post_score(text, positive=L.POST_POSITIVE, negative=L.POST_NEGATIVE) -> Column:
-    tok = tokenize(text)
-    return (word_sum(tok, positive) - word_sum(tok, negative)) / F.greatest(F.size(tok), F.lit(1)).cast("double")
+def post_score(norm: Column, positive=L.POST_POSITIVE, negative=L.POST_NEGATIVE) -> Column:
+    """(pos - neg) / tokens of a normalized text."""
+    return (word_count(norm, positive) - word_count(norm, negative)) / F.greatest(token_count(norm), F.lit(1)).cast("double")
 
 
 def contains_count(text: Column, words) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import CELL, DAY, time_cell
+from .series import CELL, DAY, declare_daily, is_daily, time_cell
 
 SPAN = 32 * DAY
 
@@ -45,18 +45,16 @@ def asof_join(
                             columns=columns, tolerance=tolerance, strict=strict, span=span)
     cols = columns or [x for x in right.columns if x not in keys and x != rt]
     k = list(keys)
+    # two daily sides are bounded by the calendar: one cell per key, no carry
+    short = is_daily(left, time, k) and is_daily(right, rt, k)
     right = right.filter(F.col(rt).isNotNull())
     payload = F.struct(F.col(rt).alias("_at"), *[F.col(x) for x in cols])
     tie = F.struct(*[F.col(x) for x in right_order]) if right_order else F.struct(F.lit(0))
     r = right.select(*k, F.col(rt).alias("_t"), tie.alias("_tie"), payload.alias("_r"))
-    r = r.withColumn(CELL, time_cell("_t", span))
-    l = left.select(*k, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l")).withColumn(CELL, time_cell("_t", span))
-
-    tail = r.groupBy(*k, CELL).agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_r"), F.lit(False).alias("_want"))
-    want = l.select(*k, CELL).distinct().withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_want", F.lit(True))
-    cells = tail.unionByName(want).groupBy(*k, CELL).agg(F.first("_r", ignorenulls=True).alias("_r"), F.max("_want").alias("_want"))
-    cw = Window.partitionBy(*k).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cells.withColumn("_r", F.last("_r", ignorenulls=True).over(cw)).filter(F.col("_want") & F.col("_r").isNotNull())
+    cell = F.lit(0).cast("bigint") if short else time_cell("_t", span)
+    r = r.withColumn(CELL, cell)
+    l = left.select(*k, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l")).withColumn(CELL, cell)
+    carry = None if short else _carry(l, r, k)
 
     null_l = F.lit(None).cast(l.schema["_l"].dataType)
     null_r = F.lit(None).cast(r.schema["_r"].dataType)
@@ -65,23 +63,38 @@ def asof_join(
     both = (
         l.select(*k, CELL, "_t", F.lit(left_side).alias("_s"), null_tie.alias("_tie"), "_l", null_r.alias("_r"))
         .unionByName(r.select(*k, CELL, "_t", F.lit(right_side).alias("_s"), "_tie", null_l.alias("_l"), "_r"))
-        .unionByName(carry.select(*k, CELL, F.lit(None).cast("timestamp").alias("_t"), F.lit(-1).alias("_s"),
-                                  null_tie.alias("_tie"), null_l.alias("_l"), "_r"))
     )
+    if carry is not None:
+        both = both.unionByName(carry.select(*k, CELL, F.lit(None).cast("timestamp").alias("_t"), F.lit(-1).alias("_s"),
+                                             null_tie.alias("_tie"), null_l.alias("_l"), "_r"))
     w = Window.partitionBy(*k, CELL).orderBy(F.col("_t").asc_nulls_first(), "_s", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
     if tolerance:
         hit = hit.withColumn("_r", F.when(F.col("_r._at") + F.expr(f"interval {tolerance}") >= F.col("_t"), F.col("_r")))
-    return hit.select(
+    out = hit.select(
         "_l.*",
         *[F.col(f"_r.{x}").alias(f"{prefix}__{x}") for x in cols],
         F.col("_r._at").alias(f"{prefix}__asof_timestamp"),
     )
+    grain = left.schema[time].metadata
+    return out.withMetadata(time, grain) if grain else out
+
+
+def _carry(l: DataFrame, r: DataFrame, k: list[str]) -> DataFrame:
+    """For each (key, cell) with left rows: the last right row of the earlier
+    cells, found on the small table of per-cell last rows."""
+    tail = r.groupBy(*k, CELL).agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_r"), F.lit(False).alias("_want"))
+    want = l.select(*k, CELL).distinct().withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_want", F.lit(True))
+    cells = tail.unionByName(want).groupBy(*k, CELL).agg(F.first("_r", ignorenulls=True).alias("_r"), F.max("_want").alias("_want"))
+    cw = Window.partitionBy(*k).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("_r", F.last("_r", ignorenulls=True).over(cw)).filter(F.col("_want") & F.col("_r").isNotNull())
 
 
 def _asof_shared(left, right, *, time, prefix, **kw) -> DataFrame:
     """A right side without a key: join the distinct left stamps once."""
     stamps = left.select(time).distinct().withColumn("_k", F.lit(0))
+    if is_daily(left, time, left.columns):
+        stamps = declare_daily(stamps, time, ())
     hit = asof_join(stamps, right.withColumn("_k", F.lit(0)), prefix=prefix, keys=("_k",), time=time, **kw).drop("_k")
     return left.join(hit, time, "left").select(*left.columns, *[x for x in hit.columns if x != time])
 

@@ -79,8 +79,9 @@ def psi(long: DataFrame, bins: int = 10) -> DataFrame:
     lo2, hi2 = F.when(flat, lo - 1e-6).otherwise(lo), F.when(flat, hi + 1e-6).otherwise(hi)
     even = F.transform(F.array(*[F.lit(q) for q in qs]), lambda t: lo2 + (hi2 - lo2) * t)
     e = e.withColumn("_e", F.when(F.size(cut) < 3, even).otherwise(cut)).select("feature", F.slice("_e", 2, F.size("_e") - 2).alias("_inner"))
-    # the outer bins are open, so only inner edges matter; bins are left closed
-    d = long.join(e, "feature").withColumn("_b", F.size(F.filter("_inner", lambda x: x <= F.col("value"))))
+    # the outer bins are open, so only inner edges matter; bins are left closed.
+    # there is one short row of edges per feature named in the plan
+    d = long.join(F.broadcast(e), "feature").withColumn("_b", F.size(F.filter("_inner", lambda x: x <= F.col("value"))))
     by_bin = d.groupBy("feature", "_b").agg(F.sum(1 - F.col("live")).alias("r"), F.sum("live").alias("c"))
     tot = by_bin.groupBy("feature").agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"), F.count("*").alias("_seen"))
     eps = F.lit(1e-6)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 64
+CELLS = 32
 
 
 def melt(df: DataFrame, features: list[str]) -> DataFrame:
@@ -20,10 +20,17 @@ def melt(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(F.inline(items)).filter("value is not null and not isnan(value)")
 
 
+def _edges_at_or_below(edges: str, x: Column) -> Column:
+    """How many edges are <= x, as plain arithmetic inside generated code."""
+    return sum((F.coalesce((F.get(edges, i) <= x).cast("int"), F.lit(0)) for i in range(CELLS - 1)), F.lit(0))
+
+
 def ordered_scan(df: DataFrame, group: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """Per distinct value: each sum, and what lies strictly below it.
 
-    Output: group, value, {name}, {name}_below, {name}_total.
+    Output: group, value, {name}, {name}_below, {name}_total.  A group made of
+    the feature name of `melt` has one row of edges per feature of the plan, so
+    that side may be broadcast; other groups are left to the join planner.
     """
     names = list(sums)
     g = group or ["_g"]
@@ -31,7 +38,9 @@ def ordered_scan(df: DataFrame, group: list[str], value: str, sums: dict[str, Co
     d = base.groupBy(*g, value).agg(*[F.sum(x).alias(n) for n, x in sums.items()])
     probs = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
     edges = d.groupBy(*g).agg(F.array_distinct(F.percentile_approx(value, probs, 1000)).alias("_edges"), *[F.sum(n).alias(f"{n}_total") for n in names])
-    celled = d.join(edges, g).withColumn("_cell", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+    if not group or group == ["feature"]:
+        edges = F.broadcast(edges)
+    celled = d.join(edges, g).withColumn("_cell", _edges_at_or_below("_edges", F.col(value))).drop("_edges")
     cells = celled.groupBy(*g, "_cell").agg(*[F.sum(n).alias(f"_s_{n}") for n in names])
     cw = Window.partitionBy(*g).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = cells.select(*g, "_cell", *[F.coalesce(F.sum(f"_s_{n}").over(cw), F.lit(0)).alias(f"_c_{n}") for n in names])

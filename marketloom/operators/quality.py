@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ny_clock
-from .asof import asof_join
 from .series import BLK, DAILY, INTRADAY, Layout, blocked, lag, previous
 
 NY = "America/New_York"
@@ -38,7 +37,8 @@ def dedupe_bars(df: DataFrame, order: list[str]) -> DataFrame:
         F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"), F.count("*").alias("_copies"),
         F.count_if(F.col("volume") < 0).alias("_negatives"),
     )
-    return g.select("symbol", "timestamp", *[F.col(f"_r.{x}").alias(x) for x in cols], "_copies", "_negatives")
+    out = g.select("symbol", "timestamp", *[F.col(f"_r.{x}").alias(x) for x in cols], "_copies", "_negatives")
+    return out.withMetadata("timestamp", df.schema["timestamp"].metadata)
 
 
 def missing_daily(df: DataFrame, holidays: DataFrame | None = None, tz: str = NY) -> DataFrame:
@@ -65,16 +65,40 @@ def missing_intraday(df: DataFrame, delta_seconds: int, layout: Layout = INTRADA
     return rows.select("symbol", F.timestamp_micros(F.unix_micros("_p") + F.col("_k") * step).alias("timestamp"))
 
 
-def repair_missing(df: DataFrame, stamps: DataFrame, layout: Layout) -> DataFrame:
-    """Flat synthetic bars at `stamps`, from the closest earlier real bar."""
-    side = df.select("symbol", "timestamp", "close", "adj_close", "session")
-    hit = asof_join(stamps, side, prefix="p", strict=True, span=layout.span).filter(F.col("p__asof_timestamp").isNotNull())
-    px = F.col("p__close")
-    return hit.select(
-        "symbol", "timestamp", *[px.alias(x) for x in ("open", "high", "low", "close")], F.lit(0.0).alias("volume"),
-        F.col("p__adj_close").alias("adj_close"), F.lit(0.0).alias("dividend"), F.lit(1.0).alias("split_factor"),
-        F.col("p__session").alias("session"), F.lit(False).alias("is_market_holiday"), F.lit(True).alias("is_synthetic"),
-    )
+def with_missing(df: DataFrame, layout: Layout, *, delta_seconds: int | None = None, holidays: DataFrame | None = None, tz: str = NY) -> DataFrame:
+    """Rows plus a flat synthetic bar for every stamp missing before the next
+    row: weekdays of the exchange calendar, or steps inside a UTC day.
+
+    The bar before a gap is the row itself, so one look at the next stamp both
+    finds the gap and fills it; nothing is joined.
+    """
+    b = blocked(df, layout, ahead=1)
+    b.stage({"_next": F.lead(layout.time).over(b.window)})
+    d = b.owned()
+    if delta_seconds is None:
+        local = lambda c: F.to_date(F.from_utc_timestamp(c, tz))
+        a, z = F.date_add(local("timestamp"), 1), F.date_sub(local("_next"), 1)
+        days = F.when(a <= z, F.filter(F.sequence(a, z), lambda x: F.weekday(x) < 5))
+        gone = F.transform(days, lambda x: F.to_utc_timestamp(x.cast("timestamp"), tz))
+    else:
+        step = F.lit(delta_seconds * 1_000_000)
+        gap = F.unix_micros("_next") - F.unix_micros("timestamp")
+        steps = F.floor(gap / step) - 1
+        hit = (gap > step * 1.5) & (F.to_date("_next") == F.to_date("timestamp")) & (steps >= 1)
+        gone = F.when(hit, F.transform(F.sequence(F.lit(1).cast("bigint"), steps), lambda k: F.timestamp_micros(F.unix_micros("timestamp") + k * step)))
+    stamps = F.concat(F.array(F.struct(F.col("timestamp").alias("at"), F.lit(False).alias("syn"))),
+                      F.transform(F.coalesce(gone, F.array().cast("array<timestamp>")), lambda t: F.struct(t.alias("at"), F.lit(True).alias("syn"))))
+    d = d.withColumn("_s", F.explode(stamps)).drop("_next")
+    if holidays is not None:
+        off = holidays.select(F.col("date").alias("_d"), F.lit(True).alias("_off")).distinct()
+        d = d.withColumn("_d", F.to_date(F.from_utc_timestamp("_s.at", tz))).join(off, "_d", "left")
+        d = d.filter(~(F.col("_s.syn") & F.coalesce("_off", F.lit(False)))).drop("_d", "_off")
+    syn, pick = F.col("_s.syn"), lambda c, v: F.when(F.col("_s.syn"), v).otherwise(F.col(c)).alias(c)
+    flat = {c: F.col("close") for c in ("open", "high", "low")} | {"volume": F.lit(0.0), "dividend": F.lit(0.0), "split_factor": F.lit(1.0), "is_market_holiday": F.lit(False),
+                                                                   "is_synthetic": F.lit(True), "_copies": F.lit(0).cast("bigint"), "_negatives": F.lit(0).cast("bigint")}
+    out = d.select("symbol", F.col("_s.at").alias("timestamp"), *[pick(c, flat[c]) if c in flat else F.col(c) for c in df.columns if c not in ("symbol", "timestamp")], syn.cast("bigint").alias("_missing"))
+    grain = df.schema["timestamp"].metadata
+    return out.withMetadata("timestamp", grain) if grain and delta_seconds is None else out
 
 
 def stale_flags(df: DataFrame, length: int, layout: Layout) -> DataFrame:
@@ -114,9 +138,7 @@ def gate_flags(df: DataFrame, policy: QualityPolicy = QualityPolicy(), *, interv
     kept = base.filter(F.coalesce(F.col("volume") >= 0, F.lit(True))) if policy.negative_volume_policy == "drop" else base
     rows = kept.withColumn("_missing", F.lit(0).cast("bigint"))
     if policy.missing_timestamp_policy == "repair":
-        stamps = missing_daily(kept, holidays, tz) if daily else missing_intraday(kept, timeframe_seconds(interval))
-        made = repair_missing(kept, stamps, layout)
-        rows = rows.unionByName(made.withColumns({"_copies": F.lit(0).cast("bigint"), "_negatives": F.lit(0).cast("bigint"), "_missing": F.lit(1).cast("bigint")}))
+        rows = with_missing(kept, layout, delta_seconds=None if daily else timeframe_seconds(interval), holidays=holidays, tz=tz)
     rows = stale_flags(rows, policy.stale_run_length, layout)
     drop_stale = F.col("is_stale") if policy.stale_price_policy == "drop" else F.lit(False)
     rows = outlier_flags(rows, policy.outlier_return_threshold, layout, drop_stale)

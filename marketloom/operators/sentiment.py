@@ -61,7 +61,7 @@ def score_events(rows: DataFrame, cfg: SentimentConfig = SentimentConfig(), univ
     linked = X.extract_tickers("text", universe)
     given = F.col("provided_ticker")
     ok = given.isNotNull() & (given.isin(universe) if universe is not None else F.lit(True))
-    d = rows.withColumns({"_l": linked, "sentiment_score": X.lexicon_score("text", cfg.positive, cfg.negative)})
+    d = rows.withColumns({"_l": linked, "_n": X.normalize_text("text")}).withColumn("sentiment_score", X.lexicon_score("_n", cfg.positive, cfg.negative, normalized=True)).drop("_n")
     d = d.withColumn("linked_tickers", F.when(ok & ~F.array_contains("_l", F.coalesce(given, F.lit(""))), F.concat(F.array(given), F.col("_l"))).otherwise(F.col("_l")))
     return d.withColumns({
         "sentiment_label": X.three_way(F.col("sentiment_score"), 0.08), "primary_ticker": F.try_element_at("linked_tickers", F.lit(1)),

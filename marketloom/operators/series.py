@@ -15,12 +15,18 @@ series is cut into *blocks* of about `block_rows` consecutive rows:
 
 Cumulative values use the same idea with a carry: combine per cell, scan the
 cell table, add the carry to a running value inside the cell.
+
+Series declared daily (`declare_daily`: at most one row per key and day) are
+bounded by the calendar, about 366 rows a year however skewed the source is.
+Such a series is a single block: no counting pass, no join, and consecutive
+operators share one exchange by key.  The declaration travels as metadata of
+the time column; a column without it always takes the general path.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +36,20 @@ CELL, FIRST, BLK, OWN, IX, TOTAL = "_cell", "_first", "_blk", "_own", "_ix", "_t
 HELPERS = (CELL, FIRST, BLK, OWN, IX, TOTAL)
 
 
+GRAIN = "marketloom_grain"
+
+
+def declare_daily(df: DataFrame, time: str = "timestamp", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """State that `df` holds at most one row per `keys` and day of `time`."""
+    return df.withMetadata(time, {**df.schema[time].metadata, GRAIN: ["day", *keys]})
+
+
+def is_daily(df: DataFrame, time: str, keys) -> bool:
+    """Whether a declaration bounds the rows of each of `keys`."""
+    grain = df.schema[time].metadata.get(GRAIN)
+    return bool(grain) and set(grain[1:]) <= set(keys)
+
+
 def time_cell(ts: str | Column, span: int) -> Column:
     """Number of the `span`-second time cell that holds `ts`."""
     col = F.col(ts) if isinstance(ts, str) else ts
@@ -61,7 +81,7 @@ class Blocked:
 
     df: DataFrame
     layout: Layout
-    extra: list[str] = field(default_factory=list)
+    bounded: bool = False
 
     @property
     def window(self):
@@ -79,6 +99,10 @@ class Blocked:
     def indexed(self) -> "Blocked":
         """Add the global zero-based row index of each series."""
         w = self.window
+        if self.bounded:
+            whole = Window.partitionBy(*self.layout.keys, BLK)
+            self.df = self.df.withColumns({IX: (F.row_number().over(w) - 1).cast("bigint"), TOTAL: F.count("*").over(whole)})
+            return self
         self.df = self.df.withColumn(IX, F.first(FIRST).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(w) - 1)
         return self
 
@@ -111,6 +135,8 @@ def cell_map(df: DataFrame, layout: Layout, back: int, ahead: int) -> DataFrame:
 
 def blocked(df: DataFrame, layout: Layout = DAILY, *, back: int = 0, ahead: int = 0) -> Blocked:
     """Cut every series into blocks with `back`/`ahead` rows of context."""
+    if is_daily(df, layout.time, layout.keys):
+        return Blocked(df.withColumns({BLK: F.lit(0).cast("bigint"), OWN: F.lit(True)}), layout, True)
     m = cell_map(df, layout, back, ahead)
     out = (
         df.withColumn(CELL, time_cell(layout.time, layout.span))
@@ -226,6 +252,9 @@ def running(df: DataFrame, items: dict[str, tuple[Column, str]], layout: Layout
     NULL values are skipped; the result is NULL until the first value.
     """
     keys = list(layout.keys)
+    if is_daily(df, layout.time, layout.keys):
+        w = Window.partitionBy(*keys).orderBy(*layout.order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: _FOLD[f][0](v).over(w) for n, (v, f) in items.items()})
     marked = df.withColumn(CELL, time_cell(layout.time, layout.span))
     cells = marked.groupBy(*keys, CELL).agg(*[_FOLD[f][0](v).alias(f"_t_{n}") for n, (v, f) in items.items()])
     cw = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
@@ -263,6 +292,9 @@ def oldest(df: DataFrame, keys: list[str], order: list[str | Column], cols: list
 def previous(df: DataFrame, items: dict[str, Column], layout: Layout = DAILY) -> DataFrame:
     """The last non-NULL value before each row, however far back it lies."""
     keys = list(layout.keys)
+    if is_daily(df, layout.time, layout.keys):
+        w = Window.partitionBy(*keys).orderBy(*layout.order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in items.items()})
     marked = df.withColumn(CELL, time_cell(layout.time, layout.span))
     order = F.struct(*layout.order)
     cells = marked.groupBy(*keys, CELL).agg(*[F.max_by(v, F.when(v.isNotNull(), order)).alias(f"_t_{n}") for n, v in items.items()])
@@ -284,3 +316,12 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str =
     partition to k rows per key before the exchange, so a hot key stays small."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+def per_key(df: DataFrame, items: dict[str, Column], layout: Layout = DAILY) -> DataFrame:
+    """Aggregates of each whole series attached to its rows."""
+    keys = list(layout.keys)
+    if is_daily(df, layout.time, layout.keys):
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: a.over(w) for n, a in items.items()})
+    return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in items.items()]), keys)

@@ -72,14 +72,12 @@ def posts_with_tickers(posts: DataFrame, valid: list[str] | None = None, positiv
     travel with the text hash.
     """
     title, body = F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("body"), F.lit(""))
-    content = F.trim(F.concat_ws(" ", title, body))
-    key = post_key(title, body)
-    tick = X.post_tickers(content)
+    d = posts.withColumns({"_content": F.trim(F.concat_ws(" ", title, body)), "_norm": post_key(title, body)}).filter("_norm != ''")
+    tick = X.post_tickers("_content")
     if valid is not None:
         tick = F.array_intersect(tick, F.array(*[F.lit(v) for v in valid]))
-    d = posts.select("id", F.substring(title, 1, 160).alias("title"), *[F.col(o) for o in order if o != "id"], tick.alias("tickers"),
-                     X.post_score(content, positive, negative).alias("score"), key.alias("_key")).filter("_key != ''")
-    d = d.withColumn("_key", F.sha2("_key", 256))
+    d = d.select("id", F.substring(title, 1, 160).alias("title"), *[F.col(o) for o in order if o != "id"], tick.alias("tickers"),
+                 X.post_score(F.col("_norm"), positive, negative).alias("score"), F.sha2("_norm", 256).alias("_key"))
     return keep_first(d, F.col("_key"), list(order), [c for c in d.columns if c != "_key"])
 
 

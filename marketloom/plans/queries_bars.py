@@ -106,6 +106,11 @@ def missing_intraday_bars(spark, sf):
     return present(Q.missing_intraday(t, 900))
 
 
+@query("missing_daily_bars", "Q8 N4", f"SELECT symbol, {ts('ts')} FROM gone", {**GATE})
+def missing_daily_bars(spark, sf):
+    return present(Q.missing_daily(B.canonicalize(raw_bars(spark, sf)), tz="UTC"))
+
+
 @query("history_guard", "Q16 Q17 Q19",
        "SELECT symbol, count(*) AS rows FROM bars WHERE close IS NOT NULL AND volume > 30 GROUP BY 1 HAVING count(*) >= 200")
 def history_guard(spark, sf):

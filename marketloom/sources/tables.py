@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.series import declare_daily
 from ..session import prepare
 
 
@@ -40,8 +41,9 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
         F.max_by("p", "k").alias("close"), F.sum("l_quantity").alias("volume"),
     )
-    return day.select(symbol_of(F.col("l_suppkey")).alias("symbol"), F.col("l_shipdate").alias("timestamp"),
-                      "open", "high", "low", "close", "volume")
+    # ship dates carry no time of day, so there is one row per symbol and day
+    return declare_daily(day.select(symbol_of(F.col("l_suppkey")).alias("symbol"), F.col("l_shipdate").alias("timestamp"),
+                                    "open", "high", "low", "close", "volume"))
 
 
 def closes_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume-weighted mean close of all symbols per date."""
     b = bars_daily(spark, sf_dir)
-    return b.groupBy("timestamp").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("close"))
+    return declare_daily(b.groupBy("timestamp").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("close")), keys=())
 
 
 def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sector_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean close per sector and date, keyed by sector."""
     b = closes_daily(spark, sf_dir).join(sector_map(spark, sf_dir), "symbol")
-    return b.groupBy("sector", "timestamp").agg(F.avg("close").alias("close"))
+    return declare_daily(b.groupBy("sector", "timestamp").agg(F.avg("close").alias("close")), keys=("sector",))
 
 
 def month_end(ts) :
@@ -96,12 +98,13 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(p).alias("ebit"), F.min(p).alias("interest_expense"), F.max(p).alias("ebitda"),
         F.sum(F.when(st == "P", p)).alias("net_income"),
     )
-    return g.select(
+    out = g.select(
         symbol_of(F.col("k")).alias("symbol"), (F.col("m") + F.expr("interval 15 days")).cast("timestamp").alias("filing_timestamp"),
         "revenue", "free_cash_flow", "total_debt", "total_equity", "ebit", "interest_expense", "ebitda", "net_income",
         (F.col("free_cash_flow") / F.col("revenue")).alias("gross_margin"),
         (F.col("revenue") * 10.0).alias("market_cap"), (F.col("revenue") * 8.0).alias("enterprise_value"),
     )
+    return declare_daily(out, "filing_timestamp")
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,19 +116,20 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
         (share("1") * 10.0).alias("yield_2y"), (share("2") * 10.0 + 1.0).alias("yield_10y"),
         share("3").alias("credit_spread"), share("4").alias("dollar_index"), share("5").alias("benchmark_rotation"),
     )
-    return g.withColumn("release_timestamp", F.col("m").cast("timestamp")).drop("m")
+    return declare_daily(g.withColumn("release_timestamp", F.col("m").cast("timestamp")).drop("m"), "release_timestamp", ())
 
 
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fundamentals(spark, sf_dir)
     n = F.substring("symbol", 2, 5).cast("int")
     pick = (F.month("filing_timestamp") + n) % 7 == 0
-    return f.filter(pick).select(
+    out = f.filter(pick).select(
         "symbol", F.col("filing_timestamp").alias("event_timestamp"),
         (F.col("filing_timestamp") - F.expr("interval 20 days")).alias("known_since"),
         (F.col("free_cash_flow") / F.col("revenue") - 0.5).alias("earnings_surprise"),
         (F.col("total_debt") / F.col("revenue") - 0.5).alias("guidance_change_proxy"),
     )
+    return declare_daily(out, "event_timestamp")
 
 
 def doc_stamp():
