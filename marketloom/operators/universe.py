@@ -212,3 +212,14 @@ def watchlist_state(events: DataFrame) -> DataFrame:
     """Current watchlist from add/remove events (newest event wins)."""
     e = events.withColumn("symbol", symbol_or_null("symbol")).filter("symbol is not null")
     return latest(e, ["symbol"], ["at"]).filter("action = 'add'")
+
+
+def rebuild(enriched: DataFrame, posts: DataFrame, path: str, *, listing_n: int = 500, mention_n: int = 100, combined_n: int = 1000, window_days: int = 7) -> None:
+    """Daily rebuild: the listing, mention and combined tables, in that order.
+
+    Each step reads what the step before wrote, so nothing is computed twice.
+    """
+    spark = enriched.sparkSession
+    top_listing(enriched, listing_n).write.mode("overwrite").parquet(f"{path}/listing")
+    top_mentions(mention_counts(posts_with_tickers(posts), window_days), mention_n).write.mode("overwrite").parquet(f"{path}/mentions")
+    combined(spark.read.parquet(f"{path}/listing"), spark.read.parquet(f"{path}/mentions"), combined_n).write.mode("overwrite").parquet(f"{path}/combined")

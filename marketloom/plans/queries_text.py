@@ -145,7 +145,7 @@ def article_title_dedupe(spark, sf):
 
 @query("article_symbols", "T12")
 def article_symbols(spark, sf):
-    d = src.text_events(spark, sf).select("doc_id", X.article_symbols("text").alias("symbols"))
+    d = src.load(spark, sf, "documents").select("doc_id", X.article_symbols(F.concat(F.lit("$"), F.upper("lang"), F.lit(" "), F.col("text"))).alias("symbols"))
     return present(d.filter(F.size("symbols") > 0))
 
 
@@ -277,3 +277,27 @@ def symbol_directory(spark, sf):
     d = p.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("Symbol"), kind.alias("Security Name"), F.when(F.col("p_size") == 1, "Y").otherwise("N").alias("Test Issue"), "p_partkey")
     keep = d.filter((F.col("Test Issue") != "Y") & U.common_stock("Security Name"))
     return present(keep.select(symbol_or_null("Symbol").alias("symbol"), F.col("p_partkey").alias("part")).filter("symbol is not null"))
+
+
+@query("symbol_sanitising", "X2 X1",
+       r"""SELECT p_partkey, CASE WHEN NOT regexp_matches(s, '[/$^ ]') AND regexp_full_match(replace(s, '.', '-'), '[A-Z][A-Z0-9\-]{0,9}') THEN replace(s, '.', '-') END AS symbol FROM (SELECT p_partkey, upper(trim(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(p_name, ' ', '.') END)) AS s FROM part)""")
+def symbol_sanitising(spark, sf):
+    p = src.load(spark, sf, "part")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit(".")))
+    return p.select("p_partkey", symbol_or_null(raw).alias("symbol"))
+
+
+@query("universe_metadata_fill", "U7 V8",
+       "SELECT printf('S%05d', s_suppkey) AS symbol, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'given' END, CASE WHEN TIMESTAMP '2024-01-01' + to_hours(s_suppkey % 48) > TIMESTAMP '2024-01-02' - INTERVAL 12 HOUR THEN 'M' || CAST(s_nationkey AS VARCHAR) END) AS sector FROM supplier")
+def universe_metadata_fill(spark, sf):
+    s = src.load(spark, sf, "supplier")
+    sym = src.symbol_of(F.col("s_suppkey")).alias("symbol")
+    rows = s.select(sym, F.when(F.col("s_suppkey") % 2 == 0, "given").alias("sector"))
+    meta = s.select(sym, F.concat(F.lit("M"), F.col("s_nationkey").cast("string")).alias("sector"), F.timestamp_seconds(F.lit(1704067200) + (F.col("s_suppkey") % 48) * 3600).alias("cached_at"))
+    return present(U.fill_metadata(rows, meta, "2024-01-02 00:00:00"))
+
+
+@query("posts_window", "S7 K9", "SELECT doc_id AS id FROM texts WHERE ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15' ORDER BY ts DESC LIMIT 150")
+def posts_window(spark, sf):
+    d = src.text_events(spark, sf).select(F.col("doc_id").alias("id"), F.col("timestamp").alias("created_at"))
+    return U.posts_in_window(d, "2024-01-15 00:00:00", 7, max_posts=150).select("id")

@@ -75,7 +75,7 @@ def memory_category_counts(spark, sf):
 
 # ---- signals and exposures ---------------------------------------------------------
 
-@query("signals_on_bars", "J9 B1 R2",
+@query("signals_on_bars", "J9 B1 Y2",
        f"""SELECT b.symbol, {ts('b.ts')}, {rd('s.p', 'prediction')}, {rd('CASE WHEN s.p >= 0.6 THEN greatest(least(abs(2 * s.p - 1), 1.0), 0.1) WHEN s.p <= 0.4 THEN -greatest(least(abs(2 * s.p - 1), 1.0), 0.1) END', 'target_exposure')},
          CASE WHEN s.p >= 0.6 THEN 'buy' WHEN s.p <= 0.4 THEN 'sell' ELSE 'hold' END AS action FROM bars b ASOF LEFT JOIN (SELECT * FROM pp WHERE dayofmonth(ts) % 3 = 0) s ON b.symbol = s.symbol AND b.ts >= s.ts""", {k: RETS[k] for k in ("rr", "pp")})
 def signals_on_bars(spark, sf):
@@ -471,7 +471,7 @@ def analysis_report(spark, sf):
 
 # ---- journal -------------------------------------------------------------------------------
 
-@query("latest_order_per_customer", "K1 K19 DB07 DB08 S15",
+@query("latest_order_per_customer", "K1 K19 DB01 DB07 DB08 S5 S15",
        f"SELECT o_custkey, o_orderkey, {rd('o_totalprice', 'o_totalprice')} FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest_order_per_customer(spark, sf):
     o = src.load(spark, sf, "orders")

@@ -152,3 +152,11 @@ def test_pad_and_watchlist(spark):
     assert U.pad_to(s, 4).count() == 4
     ev = spark.createDataFrame([("a", "add", 1), ("b", "add", 2), ("a", "remove", 3)], "symbol string, action string, at int")
     assert [r["symbol"] for r in U.watchlist_state(ev).collect()] == ["B"]
+
+
+def test_daily_rebuild_writes_three_tables(spark, tmp_path):
+    d = spark.createDataFrame([("AAA", "A", 5.0, 2e7, "s", "i"), ("BBB", "B", 9.0, 3e7, "s", "i")], "symbol string, company_name string, market_cap double, avg_dollar_volume double, sector string, industry string")
+    posts = spark.createDataFrame([("1", "AAA up", "x1"), ("2", "ZZZ", "down")], "id string, title string, body string")
+    U.rebuild(d, posts, str(tmp_path / "u"))
+    got = spark.read.parquet(str(tmp_path / "u" / "combined"))
+    assert got.orderBy(F.size("sources").desc()).first()["symbol"] == "AAA" and got.filter("symbol = 'ZZZ'").count() == 1
