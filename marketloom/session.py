@@ -28,6 +28,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session clock to UTC; every stored stamp is UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Zone-less stamps in files are UTC: read them as such, without a cast that
+    # would keep time filters from reaching the scan.
+    if spark.conf.get("spark.sql.parquet.inferTimestampNTZ.enabled", "true") != "false":
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     # Window stages are bound by CPU, not bytes: do not merge their partitions
     # below the parallelism of the cluster just because the rows are narrow.
     if spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1MB") in ("1MB", "1048576b", "1048576"):
