@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import jaccard
 from ..functions.text import normalize_text, tokenize
 from ..session import cut_lineage
+from .series import attach_row
 
 
 def size_levels(t: float, top: int = 1 << 22) -> list[int]:
@@ -100,7 +101,7 @@ def dedupe_near_identical(df: DataFrame, *, id_col: str, time: str = "timestamp"
 def dedupe_report(df: DataFrame, kept: DataFrame) -> DataFrame:
     a = df.agg(F.count("*").alias("input_count"))
     b = kept.agg(F.count("*").alias("output_count"))
-    return a.join(b).select("input_count", (F.col("input_count") - F.col("output_count")).alias("deduped_count"), "output_count")
+    return attach_row(a, b).select("input_count", (F.col("input_count") - F.col("output_count")).alias("deduped_count"), "output_count")
 
 
 def keep_first(df: DataFrame, key, order: list, cols: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordered import exact_quantiles, melt, ordered_scan
-from .series import latest
+from .series import attach_row, latest
 
 
 @dataclass(frozen=True)
@@ -210,5 +210,5 @@ def weekly_review(signals: DataFrame, outcomes: DataFrame, week_ending: str) ->
                      F.coalesce(F.avg(F.when(F.col("resolved"), F.col("win").cast("double"))), F.lit(0.0)).alias("win_rate"))
     for name, part in (("regimes", pack(win_rate_by_regime(pairs), "regime")), ("worked", pack(effective_features(stats, True), "feature")),
                        ("failed", pack(effective_features(stats, False), "feature"))):
-        head = head.join(part.withColumnRenamed("_x", name))
+        head = attach_row(head, part.withColumnRenamed("_x", name))
     return head.withColumn("week_ending", end)

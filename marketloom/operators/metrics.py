@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clip, div
 from .ordered import ordered_scan
-from .series import DAILY, Layout, blocked, lag, running
+from .series import DAILY, Layout, attach_row, blocked, lag, running
 
 LOW, HIGH = 1e-6, 1 - 1e-6
 
@@ -77,7 +77,7 @@ def classification_metrics(df: DataFrame, group: list[str], y: str = "y_true", p
     out = c.select(*group, "samples", "brier_score", *[v.alias(k) for k, v in scores(*[F.col(x) for x in ("tp", "fp", "fn", "tn")]).items()])
     auc = roc_auc(df, group, y, p)
     ece = expected_calibration_error(reliability_curve(df, group, y, p, bins), group)
-    return out.join(auc, group, "left").join(ece, group, "left") if group else out.join(auc).join(ece)
+    return out.join(auc, group, "left").join(ece, group, "left") if group else attach_row(attach_row(out, auc), ece)
 
 
 def regression_metrics(df: DataFrame, group: list[str], y: str, pred: str, thresholds: tuple[float, ...] = (0.0, 0.005, 0.01)) -> DataFrame:

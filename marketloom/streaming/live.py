@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -45,7 +46,7 @@ def write_alerts_once(hits: DataFrame, table_path: str, checkpoint: str, trigger
         first = batch.groupBy("id").agg(F.min_by(F.struct("symbol", "timestamp", "price", "threshold"), "timestamp").alias("r")).select("id", "r.*")
         try:
             seen = spark.read.parquet(table_path).filter(F.col("epoch") != epoch).select("id")
-        except Exception:
+        except AnalysisException:  # nothing was written yet
             seen = spark.createDataFrame([], "id bigint")
         # one folder per epoch, overwritten, so that a replayed batch adds nothing
         first.join(seen, "id", "left_anti").write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
