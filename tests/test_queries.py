@@ -41,3 +41,23 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """Python workers started outside the repository still run the helpers."""
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from marketloom.session import build_session\n"
+            "s = build_session(master='local[2]', partitions=2)\n"
+            "from marketloom.operators.dedupe import signature_udf\n"
+            "from pyspark.sql import functions as F\n"
+            "d = s.range(3).select(F.array(F.col('id')).alias('h'))\n"
+            "print('rows', d.select(signature_udf(0.9)('h')).count())\n"
+            "from marketloom.operators.risk import RiskConfig, screen_orders\n"
+            "o = s.sql(\"select 1L order_id, 'a' account, 'X' symbol, 'buy' side, 5.0D qty, 10.0D price, 1.0D atr, 'calm' regime, array('x') event_flags, timestamp'2024-01-02' timestamp\")\n"
+            "h = s.sql(\"select 'a' account, 'Y' symbol, 1.0D qty, 1.0D price, 'z' sector\")\n"
+            "print('qty', screen_orders(o, h, s.sql(\"select 'a' account, 1000.0D equity\")).first()['approved_qty'])\n")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "rows 3" in out.stdout and "qty 5.0" in out.stdout, out.stderr[-2000:]
