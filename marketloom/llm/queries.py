@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_leaks
 from .exact_dedup import mark_copies
+from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
+from .near_dedup import similarity_classes
+from .toxicity import score_toxicity
 from .url_rules import judge_urls, rule_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +27,40 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document: its digest, and the lines before and dropped."""
+    out = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+ORACLE["op3_line_dedup"] = f"""
+WITH lines AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+totals AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, '')) AS pages FROM documents GROUP BY 1),
+bad AS (SELECT host, trim(line, ' ') AS line FROM lines JOIN totals USING (host) WHERE trim(line, ' ') <> '' GROUP BY host, trim(line, ' '), pages
+        HAVING count(DISTINCT page) >= {MIN_PAGES} AND count(DISTINCT page) > {RATIO}::DOUBLE * pages),
+marked AS (SELECT l.doc_id, l.k, l.line, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.host = b.host AND trim(l.line, ' ') = b.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256 FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, or a re-parameterised one, with the item."""
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document; class_id is the smallest doc_id in it."""
+    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
