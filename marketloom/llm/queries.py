@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_folder, table
+from .bpe import encode_and_decode
 from .decontaminate import find_leaks
 from .exact_dedup import mark_copies
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .near_dedup import similarity_classes
+from .pii import find_pii
+from .token_counts import count_tokens
+from .token_files import token_index, write_tokens
 from .toxicity import score_toxicity
 from .url_rules import judge_urls, rule_frame
 
@@ -27,6 +34,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text) encoded and decoded, as digests."""
+    out = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as read back from their range-coded token files."""
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_index(spark, path).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document: its digest, and the lines before and dropped."""
@@ -56,11 +83,21 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
