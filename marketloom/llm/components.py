@@ -20,10 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         hooked = labels.select("v", F.col("root").alias("old")).join(near.withColumnRenamed("a", "v"), "v").select("v", "old", F.least("old", "m").alias("to"))
-        hooked = stored(hooked, "hooked")
-        jumped = hooked.join(hooked.select(F.col("v").alias("to"), F.col("to").alias("next")), "to", "left")
-        new = stored(jumped.select("v", F.least("to", F.coalesce("next", "to")).alias("root"), (F.least("to", F.coalesce("next", "to")) != F.col("old")).alias("moved")), "labels")
-        release(labels, hooked)
+        to = labels.select(F.col("v").alias("to"), F.col("root").alias("next"))
+        jumped = hooked.join(to, "to", "left").withColumn("root", F.least("to", F.coalesce("next", "to")))
+        new = stored(jumped.select("v", "root", (F.col("root") != F.col("old")).alias("moved")), "labels")
+        release(labels)
         labels = new
         if labels.filter("moved").isEmpty():
             release(both)

@@ -9,7 +9,7 @@ the whole shingle sets.
 No bucket is expanded into all its pairs. A bucket of two is one pair. In a
 larger one a pivot is compared with the members that are not yet connected to
 it and then leaves: all its pairs are settled. So work goes round by round, in
-each round with twice as many pivots, until every bucket is one component.
+each round with more pivots, until every bucket is one component.
 Members that provably have no partner left are dropped between rounds: if too
 many of a text's shingles stand in no other text that is still open, it cannot
 share enough with any of them.
@@ -29,6 +29,8 @@ from .common import col, fresh, maybe_broadcast, stored, text_of, words
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
+#: Times as many pivots in each round.
+GROWTH = 8
 #: Words that one numpy step works on.
 STEP = 400_000
 
@@ -115,6 +117,23 @@ def _supported(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return rated.filter(reach + 1e-6 >= similarity * (F.col("n") + F.greatest(F.col("least"), similarity * F.col("n")))).select(*members.columns)
 
 
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """`df` with the root of each rid; texts without links are their own."""
+    return df.join(roots.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+
+
+def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(v, root) after more links: only the roots that these connect are joined anew."""
+    if roots is None:
+        return components(links)
+    ends = links.select(F.posexplode(F.array("a", "b")).alias("side", "v"), "a", "b").join(roots, "v", "left").select("a", "b", "side", F.coalesce("root", "v").alias("r"))
+    edges = ends.groupBy("a", "b").agg(F.min("r").alias("x"), F.max("r").alias("y")).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    moved = components(edges)
+    now = roots.join(moved.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+    new = moved.join(roots, "v", "left_anti")
+    return stored(now.unionByName(new.select("v", "root")), "roots")
+
+
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, key, class_id, class_size) for every row of `docs`.
 
@@ -151,15 +170,12 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = stored(sets.groupBy("rid").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles")), "shingle-sets")
     sizes = sets.select("rid", "n")
 
-    links = stored(_verify(twos, sets, similarity), "links")
-    all_links = links
     weight = members.groupBy("rid").agg(F.sum("size").alias("weight"))
     members = stored(members.select("bucket", "rid").join(sizes, "rid").join(weight, "rid"), "members")
+    roots = _merge(None, stored(_verify(twos, sets, similarity), "links"))
     pivots = 1
     while True:
-        roots = components(all_links)
-        placed = members.join(roots.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        placed = stored(placed, "placed")
+        placed = _rooted(members, roots)
         open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
         placed = stored(placed.join(open_buckets, "bucket"), "open-buckets")
         if placed.isEmpty():
@@ -170,14 +186,12 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         chosen = placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pivots)
         chosen = stored(chosen.select("bucket", F.col("rid").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n")), "pivots")
         near = placed.join(chosen, "bucket").filter((F.col("root") != F.col("p_root")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n")))
-        pairs = stored(near.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct(), "pairs")
-        links = stored(_verify(pairs, sets, similarity), "links")
-        all_links = stored(all_links.unionByName(links), "links")
+        pairs = near.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct()
+        roots = _merge(roots, stored(_verify(pairs, sets, similarity), "links"))
         members = stored(placed.join(chosen.select("bucket", F.col("p").alias("rid")), ["bucket", "rid"], "left_anti").select("bucket", "rid", "n", "weight"), "members")
-        pivots *= 2
+        pivots *= GROWTH
 
-    linked = reps.select("rid", "key", "id", "copies").join(components(all_links).withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    linked = stored(linked, "rooted")
+    linked = stored(_rooted(reps.select("rid", "key", "id", "copies"), roots), "rooted")
     classes = linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = stored(linked.select("key", "root").join(classes, "root").select("key", "class_id", "class_size"), "classes")
     return signed.select("id", "key").join(named, "key").select(F.col("id").alias(id_col), "key", "class_id", "class_size")
