@@ -112,8 +112,8 @@ def _supported(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     theirs = stored(sets.join(open_ids, "rid", "left_semi").select("rid", F.explode("shingles").alias("s")), "open-shingles")
     alone = theirs.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("rid").alias("rid")).filter("df = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("own"))
     least = members.groupBy("bucket").agg(F.min("n").alias("least"))
-    rated = members.join(alone, "rid", "left").join(least, "bucket")
-    reach = (F.col("n") - F.coalesce("own", F.lit(0))) * (1 + similarity)
+    rated = members.drop("shared").join(alone, "rid", "left").join(least, "bucket").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    reach = F.col("shared") * (1 + similarity)
     return rated.filter(reach + 1e-6 >= similarity * (F.col("n") + F.greatest(F.col("least"), similarity * F.col("n")))).select(*members.columns)
 
 
@@ -171,7 +171,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = sets.select("rid", "n")
 
     weight = members.groupBy("rid").agg(F.sum("size").alias("weight"))
-    members = stored(members.select("bucket", "rid").join(sizes, "rid").join(weight, "rid"), "members")
+    members = stored(members.select("bucket", "rid").join(sizes, "rid").join(weight, "rid").withColumn("shared", F.col("n").cast("long")), "members")
     roots = _merge(None, stored(_verify(twos, sets, similarity), "links"))
     pivots = 1
     while True:
@@ -184,11 +184,17 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             placed = stored(_supported(placed, sets, similarity), "supported")
         order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "rid")
         chosen = placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pivots)
-        chosen = stored(chosen.select("bucket", F.col("rid").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n")), "pivots")
-        near = placed.join(chosen, "bucket").filter((F.col("root") != F.col("p_root")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n")))
+        chosen = stored(chosen.select("bucket", F.col("rid").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("shared").alias("p_shared")), "pivots")
+        # A pair that meets in several buckets is compared in the first of them where the pivot is one.
+        meets = chosen.join(chosen.groupBy("p").agg(F.collect_set("bucket").alias("p_in")), "p")
+        near = placed.join(placed.groupBy("rid").agg(F.collect_set("bucket").alias("in")), "rid").join(meets, "bucket").filter(
+            (F.col("root") != F.col("p_root")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n"))
+            & (F.least("shared", "p_shared") * (1 + similarity) + 1e-6 >= similarity * (F.col("n") + F.col("p_n")))
+            & (F.col("bucket") == F.array_min(F.array_intersect("in", "p_in")))
+        )
         pairs = near.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct()
         roots = _merge(roots, stored(_verify(pairs, sets, similarity), "links"))
-        members = stored(placed.join(chosen.select("bucket", F.col("p").alias("rid")), ["bucket", "rid"], "left_anti").select("bucket", "rid", "n", "weight"), "members")
+        members = stored(placed.join(chosen.select("bucket", F.col("p").alias("rid")), ["bucket", "rid"], "left_anti").select("bucket", "rid", "n", "weight", "shared"), "members")
         pivots *= GROWTH
 
     linked = stored(_rooted(reps.select("rid", "key", "id", "copies"), roots), "rooted")
