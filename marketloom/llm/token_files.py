@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import bytelevel, range_coder
 from .common import col, text_of
@@ -213,7 +214,7 @@ def _pieces(id_type: pa.DataType):
     return run
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _joined(pieces: pd.Series) -> pd.Series:
     out = []
     for p in pieces:
