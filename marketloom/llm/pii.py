@@ -9,8 +9,10 @@ once in full and later in a shorter form gets the same label. Tokens without a
 digit or at sign are outside by definition, and no node.
 
 Potentials are learned from the base labels of a bounded sample of documents:
-labels by shape, label pairs on chain edges, and label pairs on skip edges. A
-candidate that no pattern accepted is never labelled by its shape alone.
+labels by shape, label pairs on chain edges, and pairs of kinds on skip edges.
+What no pattern accepted is only unknown there, not negative: such a candidate
+starts with odds between `ODDS` against each kind, so it is never labelled by its
+shape alone, and a skip edge between a kind and outside costs APART.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ MARK, SPACE, NUMERIC, DIGITS = re.compile(r"[0-9@]"), re.compile(r"\s"), re.comp
 #: Bounds of the sample the potentials are learned from, and of the shapes they know.
 FIT_DOCS, SHAPES = 20_000, 2_000
 SWEEPS, DAMPING, SURE, NEAR = 10, 0.3, 0.8, 60
+ODDS, APART = (-2.5, -1.0), -2.0
 
 Span = tuple[str, int, int]
 
@@ -184,7 +187,11 @@ def learn(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, sha
             pair[r["what"]][r["z"], r["y"]] += r["n"]
     log = lambda c: np.log(c / c.sum())
     edge = lambda c: np.log(c / c.sum()) - np.log(c.sum(0) / c.sum())[None, :] - np.log(c.sum(1) / c.sum())[:, None]  # noqa: E731  how much likelier together than apart
-    return Potentials({s: log(c).tolist() for s, c in by_shape.items()}, log(total).tolist(), np.clip(edge(pair["chain"]), -1, 1), np.clip(edge(pair["skip"]), -4, 4))
+    skip = np.full((n, n), APART)
+    skip[OUT, OUT] = 0.0
+    skip[:OUT, :OUT] = np.clip(edge(pair["skip"][:OUT, :OUT]), -4, 4)
+    skip[range(OUT), range(OUT)] = np.clip(np.diag(skip)[:OUT], 1, 4)
+    return Potentials({s: log(c).tolist() for s, c in by_shape.items()}, log(total).tolist(), np.clip(edge(pair["chain"]), -1, 1), skip)
 
 
 def propagate(unary: np.ndarray, edges: np.ndarray, kind: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -213,7 +220,7 @@ def _unary(token: str, label: int, p: Potentials) -> list[float]:
         return [0.0 if k == label else -50.0 for k in range(OUT + 1)]
     u = p.shapes.get(shape(token), p.other)
     # What no pattern accepted needs the support of an edge.
-    return [min(x - u[OUT], -1.0) for x in u[:OUT]] + [0.0]
+    return [min(max(x - u[OUT], ODDS[0]), ODDS[1]) for x in u[:OUT]] + [0.0]
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], p: Potentials) -> list[list[Span]]:

@@ -14,7 +14,7 @@ def test_leaks(spark):
     renamed = ITEM.replace("Berlin", "Prague").replace("300 km", "450 miles").replace("Hamburg", "Vienna").replace("Anna", "Boris").replace("300", "450")
     docs = [
         "before it " + ITEM + " and behind it", ITEM.upper(), prose(1, 40) + " " + renamed + " " + prose(2, 40), ITEM.replace("Hamburg station", "Rome station"), prose(400, 30), prose(7, 20) + " " + " ".join(prose(400, 30).split()[5:22]),
-        " ".join(prose(400, 30).split()[:10]), prose(8, 500), None, "", "x The Cat sat on mats y", "too short", ITEM,
+        " ".join(prose(400, 30).split()[:10]), prose(8, 500), None, "", "It rains. The cat sat on mats, and", "too short", ITEM,
     ]
     bench, df = leaked(spark, docs)
     found = {(r.doc_id, r.item_id): r.exact for r in find_leaks(df, bench).collect()}
