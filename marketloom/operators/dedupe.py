@@ -30,8 +30,8 @@ from ..session import cut_lineage
 from .series import attach_row
 
 
-def size_levels(t: float, top: int = 1 << 22) -> list[int]:
-    """Lower bounds of set-size levels; a pair spans at most two of them."""
+def size_levels(t: float, top: int = 1 << 40) -> list[int]:
+    """Lower bounds of set-size levels, beyond any array's size; a pair spans at most two of them."""
     b = [1]
     while b[-1] < top:
         b.append(int(b[-1] / t) + 1)
@@ -67,7 +67,7 @@ def signature_udf(threshold: float):
 
 
 def dedupe_near_identical(df: DataFrame, *, id_col: str, time: str = "timestamp", text: str = "text", threshold: float = 0.9,
-                          window_hours: int = 48, max_rounds: int = 10_000) -> DataFrame:
+                          window_hours: int = 48) -> DataFrame:
     """`id_col` values of the accepted rows (columns: id, ts)."""
     micros = window_hours * 3_600_000_000
     rows = df.select(F.col(id_col).alias("id"), F.unix_micros(time).alias("t"), F.array_distinct(tokenize(text)).alias("tok"))
@@ -76,7 +76,7 @@ def dedupe_near_identical(df: DataFrame, *, id_col: str, time: str = "timestamp"
     rows = cut_lineage(rows)
     left = rows.select("id", "t", "cell", "sig")
     kept = None
-    for _ in range(max_rounds):
+    while True:  # the earliest undecided text of each key is decided in every round
         entries = left.select("id", "t", "cell", F.explode("sig").alias("k"))
         both = entries.select("k", "cell", "id", "t", F.col("cell").alias("home")).unionByName(
             entries.select("k", (F.col("cell") + 1).alias("cell"), "id", "t", F.col("cell").alias("home")))
@@ -95,7 +95,6 @@ def dedupe_near_identical(df: DataFrame, *, id_col: str, time: str = "timestamp"
         left = cut_lineage(left.join(free.select("id"), "id", "left_anti").join(gone, "id", "left_anti"))
         if left.isEmpty():
             return kept.select("id", F.timestamp_micros("t").alias("ts"))
-    raise RuntimeError("near-duplicate removal did not converge")
 
 
 def dedupe_report(df: DataFrame, kept: DataFrame) -> DataFrame:

@@ -64,16 +64,27 @@ GRIDS = {
 }
 
 
+def complete(features: list[str]):
+    """Whether a row has every feature."""
+    ok = F.lit(True)
+    for f in features:
+        ok = ok & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    return ok
+
+
 def fit(train: DataFrame, features: list[str], label: str, family: str = "logistic", **settings):
-    """Scaler and classifier fitted on the training rows only."""
-    stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True), FAMILIES[family](**settings)]
+    """Scaler and classifier fitted on the training rows that have a label and all features (`complete` tells which)."""
+    train = train.filter(complete(features) & F.col(label).isNotNull())
+    stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True), FAMILIES[family](**settings)]
     return Pipeline(stages=stages).fit(train.withColumn("label", F.col(label).cast("double")))
 
 
 def score(model, df: DataFrame) -> DataFrame:
+    """Every row comes back; one that lacks a feature has a null probability and prediction."""
+    ok = complete(model.stages[0].getInputCols())
     out = model.transform(df)
     p = vector_to_array("probability")[1]
-    return out.withColumns({"_p": p, "_y": F.col("prediction").cast("int")}).drop("raw", "x", "rawPrediction", "probability", "prediction").withColumnsRenamed({"_p": "probability", "_y": "prediction"})
+    return out.withColumns({"_p": F.when(ok, p), "_y": F.when(ok, F.col("prediction").cast("int"))}).drop("raw", "x", "rawPrediction", "probability", "prediction").withColumnsRenamed({"_p": "probability", "_y": "prediction"})
 
 
 def walk_forward(df: DataFrame, features: list[str], label: str, k: int = 5, family: str = "logistic", **settings) -> DataFrame:

@@ -20,8 +20,13 @@ CLUSTERS = {
     "deal": ["acquisition", "merger", "partnership", "contract", "deal"],
     "legal": ["lawsuit", "regulator", "probe", "investigation", "settlement"],
 }
-TONE_POSITIVE = "beat growth upgrade record strong expands launch partnership".split()
-TONE_NEGATIVE = "miss downgrade lawsuit probe cuts weak decline delay".split()
+# Words of a title's tone.
+TONE_POSITIVE = (
+    "beat", "growth", "upgrade", "record", "strong", "expands", "launch", "partnership",
+)
+TONE_NEGATIVE = (
+    "miss", "downgrade", "lawsuit", "probe", "cuts", "weak", "decline", "delay",
+)
 
 
 def dedupe_titles(articles: DataFrame, time: str = "published", order: tuple[str, ...] = ()) -> DataFrame:

@@ -74,6 +74,7 @@ def process_texts(news, social=None, cfg: SentimentConfig = SentimentConfig(), u
     rows = text_rows(news, social)
     if "doc_id" not in rows.columns:
         rows = rows.withColumn("doc_id", F.xxhash64("timestamp", "text", "source", F.coalesce("provided_ticker", F.lit("")), "channel"))
+        rows = rows.dropDuplicates(["timestamp", "text", "source", "provided_ticker", "channel"])  # exact repeats would share an id
     kept = dedupe_near_identical(rows, id_col="doc_id", threshold=cfg.similarity, window_hours=cfg.dedupe_hours)
     return score_events(rows.join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), cfg, universe)
 

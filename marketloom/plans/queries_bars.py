@@ -88,13 +88,34 @@ def quality_gate_rows(spark, sf):
 
 @query("quality_gate_report", "Q13 Q14 Q15 A17 S13",
        """SELECT symbol, CAST(sum(copies) AS BIGINT) AS rows_before, count(*) FILTER (NOT stale AND NOT outl) AS rows_after,
-          CAST(sum(greatest(copies - 1, 0)) AS BIGINT) AS duplicates, CAST(sum(neg) AS BIGINT) AS negative_volume, CAST(sum(made) AS BIGINT) AS repaired,
+          CAST(sum(greatest(copies - 1, 0)) AS BIGINT) AS duplicates, CAST(sum(neg) AS BIGINT) AS negative_volume, CAST(sum(made) AS BIGINT) AS missing, CAST(sum(made) AS BIGINT) AS repaired,
           count(*) FILTER (stale) AS stale, count(*) FILTER (outl) AS outliers, 400::BIGINT AS required_rows,
           count(*) FILTER (NOT stale AND NOT outl) >= 400 AS history_ok FROM q7 GROUP BY 1""", GATE)
 def quality_gate_report(spark, sf):
     return present(Q.gate_report(gate(spark, sf), GATE_POLICY, 5))
 
 
+DROP_POLICY = Q.QualityPolicy(missing_timestamp_policy="report", negative_volume_policy="drop", stale_price_policy="report", outlier_policy="report", outlier_return_threshold=0.20, stale_run_length=3)
+
+
+@query("gate_report_drop_policy", "Q6 Q7 Q14 Q15",
+       f"""SELECT t.symbol, t.rows_before, coalesce(k.rows_after, 0) AS rows_after, t.duplicates, t.negative_volume, coalesce(m.missing, 0) AS missing, 0::BIGINT AS repaired,
+          coalesce(k.stale, 0) AS stale, coalesce(k.outliers, 0) AS outliers, 400::BIGINT AS required_rows, coalesce(k.rows_after, 0) >= 400 AS history_ok
+          FROM (SELECT symbol, count(*) AS rows_before, count(*) - count(DISTINCT ts) AS duplicates, count(*) FILTER (volume < 0) AS negative_volume FROM raw GROUP BY 1) t
+          LEFT JOIN (SELECT symbol, count(*) AS missing FROM dgone GROUP BY 1) m USING (symbol)
+          LEFT JOIN (SELECT symbol, count(*) AS rows_after, count(*) FILTER (stale) AS stale, count(*) FILTER (coalesce(mv, 0) > 0.20 AND split_factor = 1) AS outliers FROM d4 GROUP BY 1) k USING (symbol)""",
+       {**RAW,
+        "d1": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY seq DESC) AS rn FROM raw) WHERE rn = 1 AND NOT coalesce(volume < 0, false)",
+        "dlim": "SELECT symbol, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM d1 GROUP BY 1",
+        "dcal": "SELECT symbol, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS TIMESTAMP) AS ts FROM dlim",
+        "dgone": "SELECT c.* FROM dcal c ANTI JOIN d1 USING (symbol, ts) WHERE isodow(c.ts) <= 5",
+        "d2": "SELECT *, CASE WHEN close = lag(close) OVER (PARTITION BY symbol ORDER BY ts) THEN 0 ELSE 1 END AS chg, abs(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1) AS mv FROM d1",
+        "d3": "SELECT *, sum(chg) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM d2",
+        "d4": "SELECT *, count(*) OVER (PARTITION BY symbol, run) >= 3 AS stale FROM d3"})
+def gate_report_drop_policy(spark, sf):
+    return present(Q.gate_report(Q.gate_flags(B.canonicalize(raw_bars(spark, sf)), DROP_POLICY, order=["seq"], tz="UTC"), DROP_POLICY, 5))
+
+
 @query("missing_intraday_bars", "Q9",
        """SELECT symbol, strftime(p + to_microseconds(CAST(k * 900000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS timestamp FROM (
             SELECT symbol, p, unnest(generate_series(1, CAST(floor(gap / 900.0) AS BIGINT) - 1)) AS k FROM (

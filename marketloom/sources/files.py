@@ -30,6 +30,8 @@ def read_bars(spark: SparkSession, path: str, *, fmt: str = "parquet", symbols:
     t = first_alias(df.columns, ALIASES["timestamp"])
     if t and t != "timestamp":
         df = df.withColumnRenamed(t, "timestamp")
+    if "timestamp" in df.columns and df.schema["timestamp"].dataType.simpleString() == "string":
+        df = df.withColumn("timestamp", F.to_timestamp("timestamp"))  # else bounds would compare as text
     if symbols:
         df = df.filter(F.col("symbol").isin(symbols))
     return slice_frame(df, start, end)

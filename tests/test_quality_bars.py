@@ -80,3 +80,18 @@ def test_day_buckets_follow_new_york(spark):
 def test_dataset_build_end_to_end(spark, bars):
     d, rep = build_dataset(bars, DatasetRequest(timeframe="1w"))
     assert rep.count() == 2 and d.filter("symbol = 'AAA'").count() > 100
+
+
+def test_dropped_rows_are_counted(spark):
+    """Three rows, two of one stamp, one of them with a negative volume that is dropped."""
+    rows = [("2024-01-02", 10.0, 5.0), ("2024-01-03", 11.0, -7.0), ("2024-01-05", 12.0, 6.0), ("2024-01-05", 12.5, 6.0)]
+    df = spark.createDataFrame([("A", t, c, v, i) for i, (t, c, v) in enumerate(rows)], "symbol string, d string, close double, volume double, seq int").withColumn("timestamp", F.to_timestamp("d"))
+    df = df.withColumns({c: F.col("close") for c in ("open", "high", "low", "adj_close")} | {"dividend": F.lit(0.0), "split_factor": F.lit(1.0), "session": F.lit("regular"), "is_market_holiday": F.lit(False), "is_synthetic": F.lit(False)}).drop("d")
+    got = {}
+    for dup in ("drop", "keep"):
+        pol = Q.QualityPolicy(duplicate_policy=dup, negative_volume_policy="drop", missing_timestamp_policy="report")
+        flags = Q.gate_flags(df, pol, order=["seq"], tz="UTC")
+        r = Q.gate_report(flags, pol).first()
+        got[dup] = (r["rows_before"], r["rows_after"], r["duplicates"], r["negative_volume"], r["missing"], r["repaired"])
+        assert Q.gate_rows(flags).filter("volume < 0").isEmpty()
+    assert got == {"drop": (4, 2, 1, 1, 2, 0), "keep": (4, 3, 1, 1, 2, 0)}

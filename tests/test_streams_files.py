@@ -129,3 +129,21 @@ def test_journal(spark, tmp_path):
     ex = spark.createDataFrame([(1, 12.0)], "id bigint, exit_price double")
     assert J.close_rows(pos, ex).first()["pnl"] == 4.0
     assert len(J.TABLES) == 12
+
+
+def test_csv_bounds_are_stamps(spark, tmp_path):
+    from marketloom.sources.files import read_bars
+
+    (tmp_path / "b.csv").write_text("symbol,Date,close\nA,2024-01-30 00:00:00,1\nA,2024-01-31 00:00:00,2\nA,2024-02-01 00:00:00,3\n")
+    got = read_bars(spark, str(tmp_path / "b.csv"), fmt="csv", start="2024-01-31", end="2024-01-31")
+    assert got.count() == 1
+
+
+def test_rows_without_a_feature_keep_their_place(spark):
+    from marketloom.operators import models as M
+
+    rows = [(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)] + [(100, None, 1.0, 1), (101, float("nan"), 1.0, 0)]
+    df = spark.createDataFrame(rows, "n int, a double, b double, y int")
+    for family in ("logistic", "random_forest"):
+        s = M.score(M.fit(df, ["a", "b"], "y", family), df)
+        assert s.count() == 62 and {r["n"] for r in s.filter("probability is null and prediction is null").collect()} == {100, 101}

@@ -160,3 +160,9 @@ def test_daily_rebuild_writes_three_tables(spark, tmp_path):
     U.rebuild(d, posts, str(tmp_path / "u"))
     got = spark.read.parquet(str(tmp_path / "u" / "combined"))
     assert got.orderBy(F.size("sources").desc()).first()["symbol"] == "AAA" and got.filter("symbol = 'ZZZ'").count() == 1
+
+
+def test_exact_repeats_are_one(spark):
+    rows = [("2024-01-02 10:00:00", "Profit beats and record growth at Acme today", "reuters", "ACME")] * 3 + [("2024-01-02 11:00:00", "Profit beats and record growth at Acme today", "reuters", "ACME"), ("2024-01-02 11:00:00", "A quite different story", "reuters", None)]
+    news = spark.createDataFrame(rows, "t string, headline string, source string, ticker string").selectExpr("to_timestamp(t) timestamp", "headline", "source", "ticker")
+    assert S.process_texts(news).count() == 2
