@@ -183,23 +183,39 @@ def slope(b: Blocked, y: Column, x: Column, w: int) -> Column:
 # ---- exponential means ----------------------------------------------------
 
 SUB = 512
-EMA_BACK = 2 * SUB
+#: Weight of what is left out: below the resolution of a double.
+EMA_REST = 2e-18
+
+
+def ema_runs(span: float) -> int:
+    """Whole runs of SUB rows before the current one that still weigh in."""
+    r = 1.0 - 2.0 / (span + 1.0)
+    return 0 if r <= 0 else max(2, math.ceil(math.log(EMA_REST) / (SUB * math.log(r))))
+
+
+def ema_back(*spans: float) -> int:
+    """Rows of context that exponential means of these spans need."""
+    return SUB * max(ema_runs(x) for x in spans)
+
+
+EMA_BACK = ema_back(50)
 
 
 def ema_layers(b: Blocked, src: dict[str, tuple[Column, int, bool]]) -> Blocked:
     """Exponentially weighted means: {name: (value, span, adjust)}.
 
-    Needs `indexed()` and a halo of EMA_BACK rows.  Inside a run of 512 rows
-    the recurrence is a windowed power sum; the two preceding runs are carried
-    over.  Rows further back weigh at most r**1024 < 2e-18 of the total for
-    spans up to 50, which is below the resolution of a double.
+    Needs `indexed()` and a halo of `ema_back(spans)` rows.  Inside a run of 512
+    rows the recurrence is a windowed power sum; each level carries over one
+    more of the runs before, as many as the longest span needs.
     """
-    for _, span, _ in src.values():
-        r = 1.0 - 2.0 / (span + 1.0)
-        if r > 0 and 2 * SUB * math.log(r) > math.log(2e-18) :
-            raise ValueError("span too long for a two-run carry")
-        if r < 0.25:
-            raise ValueError("span too short for the power sum")
+    for n, (x, span, _) in src.items():
+        if 0 < 1.0 - 2.0 / (span + 1.0) < 0.25:
+            raise ValueError("spans between 1 and 5/3 have no exact power sum")
+    b.stage({n: x for n, (x, span, _) in src.items() if span <= 1})  # the mean of one row
+    src = {n: v for n, v in src.items() if v[1] > 1}
+    if not src:
+        return b
+    levels = max(ema_runs(span) for _, span, _ in src.values())
     keys = [*b.layout.keys, BLK]
     sub_w = Window.partitionBy(*keys, "_sub").orderBy(*b.layout.order).rowsBetween(Window.unboundedPreceding, 0)
     prev = b.window.rowsBetween(Window.unboundedPreceding, -1)
@@ -216,7 +232,7 @@ def ema_layers(b: Blocked, src: dict[str, tuple[Column, int, bool]]) -> Blocked:
         return F.when(F.col(IX) == 0, x).otherwise(x * a)
 
     b.stage({f"_e0_{n}": F.pow(F.lit(rate[n]), j) * F.sum(unit(n) / F.pow(F.lit(rate[n]), j)).over(sub_w) for n in names})
-    for lvl in (1, 2):
+    for lvl in range(1, levels + 1):
         src_col = lambda n: f"_e{lvl - 1}_{n}"
         tail = lambda n: F.last(F.when(j == SUB - 1, F.col(src_col(n))), ignorenulls=True).over(prev)
         b.stage({
@@ -225,13 +241,13 @@ def ema_layers(b: Blocked, src: dict[str, tuple[Column, int, bool]]) -> Blocked:
         })
     out = {}
     for n in names:
-        e = F.col(f"_e2_{n}")
+        e = F.col(f"_e{levels}_{n}")
         if src[n][2]:
             r = rate[n]
             e = e * (1.0 - r) / (1.0 - F.pow(F.lit(r), F.col(IX) + 1))
         out[n] = e
     b.stage(out)
-    b.df = b.df.drop("_sub", "_j", *[f"_e{k}_{n}" for k in (0, 1, 2) for n in names])
+    b.df = b.df.drop("_sub", "_j", *[f"_e{k}_{n}" for k in range(levels + 1) for n in names])
     return b
 
 

@@ -118,13 +118,13 @@ def mention_top(spark, sf):
 
 def articles(spark, sf):
     d = src.text_events(spark, sf)
-    return d.select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 120).alias("title"), "text", F.col("timestamp").alias("published"),
+    return d.select(F.col("doc_id").alias("article_id"), F.col("text").alias("title"), "text", F.col("timestamp").alias("published"),
                     F.array(F.concat(F.lit("T"), (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("U"), (F.col("doc_id") % 3).cast("string"))).alias("symbols"))
 
 
 _cnt = lambda words: " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)
 AR = {
-    "a0": f"SELECT doc_id, text, text[1:120] AS title, ts, ({_cnt(L.KEYWORD_POSITIVE)})::DOUBLE AS p, ({_cnt(L.KEYWORD_NEGATIVE)})::DOUBLE AS n FROM texts",
+    "a0": f"SELECT doc_id, text, text AS title, ts, ({_cnt(L.KEYWORD_POSITIVE)})::DOUBLE AS p, ({_cnt(L.KEYWORD_NEGATIVE)})::DOUBLE AS n FROM texts",
     "a1": "SELECT *, coalesce((p - n) / nullif(p + n, 0), 0) AS score FROM a0",
     "a2": "SELECT doc_id, title, ts, score, unnest(['T' || CAST(doc_id % 7 AS VARCHAR), 'U' || CAST(doc_id % 3 AS VARCHAR)]) AS symbol FROM a1",
     "bs": """SELECT symbol, avg(score) AS score, count(*) AS article_count, count(*) FILTER (score > 0.2) AS positive_count, count(*) FILTER (score < -0.2) AS negative_count,
@@ -138,7 +138,7 @@ def article_keyword_scores(spark, sf):
 
 
 @query("article_title_dedupe", "T11",
-       r"SELECT doc_id AS article_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(lower(text[1:120]), '[^a-z0-9]', '', 'g')[1:50] ORDER BY ts DESC, doc_id) AS rn FROM texts) WHERE rn = 1")
+       r"SELECT doc_id AS article_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(lower(text), '[^a-z0-9]', '', 'g')[1:50] ORDER BY ts DESC, doc_id) AS rn FROM texts) WHERE rn = 1")
 def article_title_dedupe(spark, sf):
     return present(N.dedupe_titles(articles(spark, sf), order=("article_id",)).select("article_id"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import technical as T
-from ..operators.series import DAILY, Blocked, Layout, blocked
+from ..operators.series import DAILY, Blocked, Layout, blocked, ema_back
 
 Stage = Callable[[Blocked, dict], list[str]]
 
@@ -22,6 +22,12 @@ class Plugin:
     stage: Stage
     back: int
     prepare: Callable[[DataFrame, dict, dict], DataFrame] | None = None
+    exponential: bool = False
+
+    def history(self, params: dict) -> int:
+        """Rows of context for these parameters; exponential means need more than their span."""
+        longest = _longest(params)
+        return max(self.back, 2 * longest, ema_back(longest) if self.exponential and longest else 0)
 
 
 @dataclass(frozen=True)
@@ -63,7 +69,7 @@ class FeatureRegistry:
         for p, s in plugins:
             if p.prepare:
                 df = p.prepare(df, s.params, context)
-        widest = max(max(p.back, 2 * _longest(s.params)) for p, s in plugins)
+        widest = max(p.history(s.params) for p, s in plugins)
         b = blocked(df, layout, back=widest).indexed()
         catalog, feats = [], []
         for p, s in plugins:
@@ -95,7 +101,7 @@ def default_registry() -> FeatureRegistry:
     for name, group, stage in (("returns", "price", T.returns), ("trend", "trend", T.trend), ("trend_ema", "trend", T.trend_ema),
                                ("momentum", "momentum", T.momentum), ("macd", "momentum", T.macd), ("volatility", "volatility", T.volatility),
                                ("structure", "structure", T.structure), ("gaps", "gaps", T.gaps)):
-        reg.register(Plugin(name, group, stage, B[name]))
+        reg.register(Plugin(name, group, stage, B[name], exponential=name in ("trend_ema", "macd")))
     reg.register(Plugin("volume", "volume", T.volume, B["volume"], lambda df, p, c: T.with_obv(df)))
 
     def ref(df, p, c):

@@ -42,10 +42,15 @@ def test_ema_matches_pandas(spark, block):
     np.testing.assert_allclose(got["d"], pdf["close"].ewm(span=9).mean(), rtol=1e-10)
 
 
-def test_ema_refuses_long_spans(bars):
-    b = S.blocked(bars, small(), back=S.EMA_BACK).indexed()
-    with pytest.raises(ValueError):
-        S.ema_layers(b, {"x": (F.col("close"), 300, False)})
+def test_ema_of_long_and_short_spans(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"symbol": "A", "timestamp": pd.date_range("1990-01-01", periods=9000, freq="D"), "close": 100 + rng.normal(0, 1, 9000).cumsum()})
+    b = S.blocked(spark.createDataFrame(pdf), S.Layout(span=50 * S.DAY, block_rows=1500), back=S.ema_back(1, 5, 100, 300)).indexed()
+    S.ema_layers(b, {f"e{n}": (F.col("close"), n, False) for n in (1, 5, 100, 300)} | {"a300": (F.col("close"), 300, True)})
+    got = collect(b.owned())
+    for n in (1, 5, 100, 300):
+        np.testing.assert_allclose(got[f"e{n}"], pdf["close"].ewm(span=n, adjust=False).mean(), rtol=1e-10)
+    np.testing.assert_allclose(got["a300"], pdf["close"].ewm(span=300).mean(), rtol=1e-10)
 
 
 def test_running_and_previous(bars, bars_pdf):
