@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.bpe import encode_and_decode
+from marketloom.llm.bpe import encode_and_decode, listed
 from marketloom.llm.common import stored, table
 from marketloom.llm.decontaminate import drop_leaks
 from marketloom.llm.line_dedup import drop_boilerplate
@@ -43,8 +43,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and digests of the ids and of the bytes they decode to."""
     out = encode_and_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts sampled for the distinct words that are remembered, and how many of these.
-SAMPLE_TEXTS, COMMON = 20_000, 100_000
+SAMPLE_TEXTS, COMMON = 20_000, 50_000
 NEVER = 2_147_483_647
 #: White space as the tokenizers' regular expressions know it, and the public pattern in Java's syntax.
 BLANK = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -59,15 +59,15 @@ class LiteralMap:
         self.mask = n - 1
         self.literal = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<array<struct<k:binary,v:{value}>>>")
 
-    def get(self, key: Column) -> Column:
-        """The value, or null."""
-        bucket = F.get(self.literal, F.crc32(key).bitwiseAND(F.lit(self.mask)).cast("int"))
-        return F.get(F.filter(bucket, lambda e: e["k"] == key), F.lit(0))["v"]
+    def get(self, table: Column, key: Column) -> Column:
+        """The value, or null. `table` is the literal, bound once by `let`, so that a plan holds it once."""
+        bucket = table[F.crc32(key).bitwiseAND(F.lit(self.mask)).cast("int")]
+        return F.try_element_at(F.filter(bucket, lambda e: e["k"] == key), F.lit(1))["v"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.transform(F.array(value), body)[0]
 
 
 class BytePairs:
@@ -85,16 +85,17 @@ class BytePairs:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def _rank(self, piece: Column) -> Column:
-        return F.coalesce(self.ranks.get(piece), F.lit(NEVER))
-
     def fold(self, word: Column) -> Column:
         """The ids of one word's bytes, by ranked merges."""
+        return let(self.ranks.literal, lambda ranks: self._fold(word, ranks))
+
+    def _fold(self, word: Column, ranks: Column) -> Column:
+        rank = lambda piece: F.coalesce(self.ranks.get(ranks, piece), F.lit(NEVER))
         size = F.octet_length(word)
         single = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, 1))
 
         def start(toks: Column) -> Column:
-            pairs = F.zip_with(F.slice(toks, F.lit(1), F.size(toks) - 1), F.slice(toks, F.lit(2), F.size(toks) - 1), lambda a, b: self._rank(F.concat(a, b)))
+            pairs = F.zip_with(F.slice(toks, F.lit(1), F.size(toks) - 1), F.slice(toks, F.lit(2), F.size(toks) - 1), lambda a, b: rank(F.concat(a, b)))
             return F.struct(toks.alias("t"), pairs.alias("r"))
 
         def step(acc: Column, _: Column) -> Column:
@@ -105,27 +106,38 @@ class BytePairs:
             none = F.array().cast("array<int>")
 
             def joined(piece: Column) -> Column:
-                left = F.when(i > 1, F.array(self._rank(F.concat(F.get(t, i - 2), piece)))).otherwise(none)
-                right = F.when(i + 1 < F.size(t), F.array(self._rank(F.concat(piece, F.get(t, i + 1))))).otherwise(none)
+                left = F.when(i > 1, F.array(rank(F.concat(t[i - 2], piece)))).otherwise(none)
+                right = F.when(i + 1 < F.size(t), F.array(rank(F.concat(piece, t[i + 1])))).otherwise(none)
                 toks = F.concat(F.slice(t, F.lit(1), i - 1), F.array(piece), F.slice(t, i + 2, F.size(t)))
                 return F.struct(toks.alias("t"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r))).alias("r"))
 
-            return let(F.concat(F.get(t, i - 1), F.get(t, i)), joined)
+            return let(F.concat(t[i - 1], t[i]), joined)
 
         folded = let(let(single, start), lambda s: F.aggregate(s["t"], s, step))["t"]
-        whole = self.ranks.get(word)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, lambda p: self.ranks.get(p)))
+        whole = self.ranks.get(ranks, word)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, lambda p: self.ranks.get(ranks, p)))
 
     def encode(self, text: Column) -> Column:
         """The ids of a text: an empty array for null and for the empty text."""
-        def ids(word: Column) -> Column:
-            return let(word.cast("binary"), lambda b: F.coalesce(self.common.get(b), self.fold(b)) if self.common else self.fold(b))
+        def ids(ranks: Column, common: Column | None) -> Column:
+            def one(b: Column) -> Column:
+                return self._fold(b, ranks) if common is None else F.coalesce(self.common.get(common, b), self._fold(b, ranks))
+
+            return F.flatten(F.transform(self.words(F.coalesce(text, F.lit(""))), lambda word: let(word.cast("binary"), one)))
 
-        return F.flatten(F.transform(self.words(F.coalesce(text, F.lit(""))), ids))
+        if self.common is None:
+            return let(self.ranks.literal, lambda ranks: ids(ranks, None))
+        return let(self.ranks.literal, lambda ranks: let(self.common.literal, lambda common: ids(ranks, common)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: the pieces one after the other (as raw strings, which keeps the concatenation linear)."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i).cast("string")), "").cast("binary")
+        return let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: pieces[i].cast("string")), "")).cast("binary")
+
+
+def listed(ids: Column) -> Column:
+    """The ids in decimal, joined by commas (an array's own text form, without brackets and blanks)."""
+    text = F.regexp_replace(ids.cast("string"), r"[\[\] ]", "")
+    return F.coalesce(text, F.lit(""))
 
 
 def common_words(docs: DataFrame, text: Column, coder: BytePairs, sample_texts: int = SAMPLE_TEXTS, common: int = COMMON) -> dict[bytes, list[int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, table
-from .bpe import encode_and_decode
+from .bpe import encode_and_decode, listed
 from .decontaminate import find_leaks
 from .exact_dedup import mark_copies
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
@@ -37,8 +37,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) encoded and decoded, as digests."""
     out = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
