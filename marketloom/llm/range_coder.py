@@ -60,7 +60,10 @@ class Model:
         self.row = self.lane * (vocab + 1)
         self.seen = np.zeros((lanes, vocab), dtype=np.uint16)
         self.total = np.full(lanes, self.base[-1], dtype=np.uint64)
-        self.depth = max(1, int(vocab - 1).bit_length())
+        # A search starts at every far-th id, and halves from there.
+        self.far = -(-vocab // 64)
+        self.depth, self.end = (self.far - 1).bit_length(), self.row + (vocab - 1)
+        self.coarse = np.ascontiguousarray(self.cum[:, :-1:self.far])
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(candidate, probability of it in 1..4095); the candidate is -1 where there is none."""
@@ -106,6 +109,7 @@ class Model:
             part += self.base[1:]
             self.cum[i:i + 32, 1:] = part
         self.total = self.cum[:, -1].astype(np.uint64)
+        self.coarse = np.ascontiguousarray(self.cum[:, :-1:self.far])
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.row + x
@@ -115,9 +119,9 @@ class Model:
     def find(self, v: np.ndarray) -> np.ndarray:
         """The ids whose interval holds v."""
         v = v.astype(np.uint32)
-        at, end = self.row, self.row + (self.vocab - 1)
+        at = self.row + ((self.coarse <= v[:, None]).sum(axis=1) - 1) * self.far
         for k in range(self.depth - 1, -1, -1):
-            to = np.minimum(at + (1 << k), end)
+            to = np.minimum(at + (1 << k), self.end)
             at = np.where(self.flat.take(to) <= v, to, at)
         return at - self.row
 
