@@ -19,11 +19,12 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, let
+
 #: Texts sampled for the distinct words that are remembered, and how many of these.
 SAMPLE_TEXTS, COMMON = 20_000, 50_000
 NEVER = 2_147_483_647
@@ -65,11 +66,6 @@ class LiteralMap:
         return F.try_element_at(F.filter(bucket, lambda e: e["k"] == key), F.lit(1))["v"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 class BytePairs:
     """Columns that encode and decode with the given ranks."""
 
@@ -146,8 +142,8 @@ def common_words(docs: DataFrame, text: Column, coder: BytePairs, sample_texts:
     if not n:
         return {}
     sample = docs.select(text.alias("text")).sample(min(1.0, sample_texts / n), seed=7)
-    words = sample.select(F.explode(coder.words(F.coalesce("text", F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = words.filter("n > 1").orderBy(F.desc("n"), "word").limit(common).repartition(64, "word").select(F.col("word").cast("binary").alias("word"))
+    words = sample.select(F.explode_outer(coder.words(F.coalesce("text", F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = words.filter("n > 1 and word is not null").orderBy(F.desc("n"), "word").limit(common).repartition(64, "word").select(F.col("word").cast("binary").alias("word"))
     return {bytes(r["word"]): r["ids"] for r in top.select("word", coder.fold(F.col("word")).alias("ids")).collect()}
 
 
@@ -166,7 +162,5 @@ def byte_pairs(docs: DataFrame, text: Column, ranks_path: str, pattern: str, **b
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded", **bounds: int) -> DataFrame:
     """`docs` with the ids of each text and the bytes these decode to. Repeated rows get the same; an empty table stays empty."""
-    from .common import col
-
     coder = byte_pairs(docs, col(text_col), ranks_path, pattern, **bounds)
     return docs.withColumn(ids, coder.encode(col(text_col))).withColumn(decoded, coder.decode(col(ids)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, maybe_broadcast, stored, text_of
+from .common import col, fresh, let, maybe_broadcast, stored, text_of
 
 #: Template words in a window, hits needed on one diagonal (13 words in a row), and the shortest item that is searched for.
 WINDOW, HITS, MIN_WORDS = 8, 6, 5
@@ -48,28 +48,23 @@ def template(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def with_windows(df: DataFrame, hashes: str, length: int, out: str) -> DataFrame:
-    """Adds the hashes of all windows of `length` words, made by doubling: a window of 8 is two of 4. Empty for shorter texts."""
-    part, have, built, helpers = hashes, 1, None, []
+def windows(hashes: Column, length: int) -> Column:
+    """The hashes of all windows of `length` words, made by doubling: a window of 8 is two of 4. Empty for shorter texts."""
+    def joined(a: Column, b: Column, shift: int) -> Column:
+        return F.zip_with(a, F.slice(b, F.lit(shift + 1), F.greatest(F.size(b) - shift, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
-    def step(df, a, b, shift, name):
-        helpers.append(name)
-        return df.withColumn(name, F.zip_with(a, F.slice(b, F.lit(shift + 1), F.greatest(F.size(b) - shift, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
-
-    n, total = length, 0
-    while n:
-        if n & 1:
+    def grow(part: Column, have: int, built: Column | None, total: int, rest: int, words: Column) -> Column:
+        """`part` are windows of `have` words, `built` of the `total` words that are done; `rest` counts what is left in units of `have`."""
+        if rest & 1:
             if built is None:
                 built, total = part, have
             else:
-                df = step(df, built, part, total, f"{out}_s{total + have}")
-                built, total = helpers[-1], total + have
-        n >>= 1
-        if n:
-            df = step(df, part, part, have, f"{out}_p{2 * have}")
-            part, have = helpers[-1], 2 * have
-    df = df.withColumn(out, F.slice(built, F.lit(1), F.greatest(F.size(hashes) - length + 1, F.lit(0))))
-    return df.drop(*helpers)
+                return let(joined(built, part, total), lambda b: grow(part, have, b, total + have, rest - 1, words))
+        if rest > 1:
+            return let(joined(part, part, have), lambda p: grow(p, 2 * have, built, total, rest >> 1, words))
+        return F.slice(built, F.lit(1), F.greatest(F.size(words) - length + 1, F.lit(0)))
+
+    return let(hashes, lambda h: grow(h, 1, None, 0, length, h))
 
 
 def _digest(text: Column) -> list[Column]:
@@ -92,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most `window` values
     marks = []
     for n in lengths:
-        w = with_windows(items.filter(F.col("len") == n), "hashes", n, "win").select("item", "len", "words", F.posexplode("win").alias("ipos", "win"))
+        w = items.filter(F.col("len") == n).select("item", "len", "words", F.posexplode(windows(F.col("hashes"), n)).alias("ipos", "win"))
         plain = F.size(F.filter(F.slice("words", F.col("ipos") + 1, n), lambda x: slot(x) == 0))
         marks.append(w.select("item", "len", "ipos", "win", (2 * plain >= n).alias("plain")))
     if not marks:
@@ -107,10 +102,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     n_wins = wins.count()
 
     text = text_of(text_col)
-    base = docs.select(*_digest(text), template(tokens(text)).alias("hashes"))
+    base = docs.select(*_digest(text), text.alias("text"))
     found = None
     for n in lengths:
-        w = with_windows(base, "hashes", n, "win").select("t1", "t2", F.posexplode("win").alias("pos", "win"))
+        w = base.select("t1", "t2", F.posexplode_outer(windows(template(tokens(F.col("text"))), n)).alias("pos", "win"))
         hit = w.join(maybe_broadcast(wins.filter(F.col("len") == n), n_wins), "win").select("t1", "t2", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
         found = hit if found is None else found.unionByName(hit)
     lines = (

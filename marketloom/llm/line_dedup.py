@@ -36,7 +36,7 @@ def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text",
     text = text_of(text_col)
     pages = df.select(F.coalesce(col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("page"), F.filter(lines_of(text), lambda x: F.trim(x) != "").alias("lines"))
     totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = pages.select("host", "page", F.explode(F.array_distinct(F.transform("lines", _key))).alias("line")).distinct()
+    seen = pages.select("host", "page", F.explode_outer(F.array_distinct(F.transform("lines", _key))).alias("line")).filter("line is not null").distinct()
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("on")).filter(F.col("on") >= min_pages)
     found = stored(stored(counts, "line-counts").join(stored(totals, "host-pages"), "host").filter(F.col("on") > F.lit(ratio) * F.col("pages")).select("host", "line"), "boilerplate")
     return stored(found.groupBy("host").agg(F.collect_list("line").alias("lines")), "host-boilerplate")

@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
 
     # Frequencies of words, then of their features; the features that stand out most among positives.
-    seen = texts.select("y", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    seen = texts.select("y", F.explode_outer(F.array_distinct(words(F.col("text")))).alias("word")).filter("word is not null")
     seen = seen.groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u"))
     df = seen.select(F.explode(feature_columns(F.col("word"))).alias("feature"), "p", "u").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter("p >= 3")
     p, u = F.col("p") / count[1], F.col("u") / count[0]
