@@ -37,7 +37,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), verbatim=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

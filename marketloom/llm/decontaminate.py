@@ -67,68 +67,101 @@ def windows(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: grow(h, 1, None, 0, length, h))
 
 
+def folded(text: Column) -> Column:
+    """The words of `tokens` without marks and without case."""
+    units = F.regexp_replace(F.lower(F.upper(text)), rf"(\p{{N}}) ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1 $2")
+    return F.filter(F.split(units, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def verbatim_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+#: How a text is read: its words, their hashes, and whether some of them are placeholders.
+READINGS = {"template": (tokens, template, True), "verbatim": (folded, verbatim_hashes, False)}
+
+
 def _digest(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, hits: int = HITS, min_words: int = MIN_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, hits: int = HITS, min_words: int = MIN_WORDS, verbatim: bool = False) -> DataFrame:
     """(t1, t2, item_id, shift, hits, n_windows, exact): the texts, by their 128-bit hash, that hold an item's template.
 
     A text is contaminated by an item if at least `hits` of the item's windows
-    (all, if it has fewer) lie on one diagonal and the placeholders under them
-    map one to one. Items of fewer than `window` words are searched as one window
-    of their own length, items under `min_words` words are not searched for:
-    they would be found in clean texts. Windows with more placeholders than words
-    count only in items that have no other. Null texts count as empty.
+    (all, if it has fewer) lie on one diagonal and each value of the item under
+    them stands for one value of the text. Items of fewer than `window` words are
+    searched as one window of their own length, items under `min_words` words are
+    not searched for: they would be found in clean texts. Windows with more
+    placeholders than words count only in items that have no other. Null texts
+    count as empty.
+
+    With `verbatim`, as many windows on one diagonal that are equal word for word,
+    case aside, are enough whatever the values elsewhere, and only values that
+    were changed have to be changed alike.
     """
-    items = benchmark.select(col(item_col).alias("item"), tokens(text_of(item_text)).alias("words"))
-    items = items.filter(F.size("words") >= min_words).withColumn("hashes", template("words")).withColumn("len", F.least(F.size("words"), F.lit(window)))
-    items = stored(items, "benchmark-words")
-    lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most `window` values
-    marks = []
-    for n in lengths:
-        w = items.filter(F.col("len") == n).select("item", "len", "words", F.posexplode(windows(F.col("hashes"), n)).alias("ipos", "win"))
-        plain = F.size(F.filter(F.slice("words", F.col("ipos") + 1, n), lambda x: slot(x) == 0))
-        marks.append(w.select("item", "len", "ipos", "win", (2 * plain >= n).alias("plain")))
-    if not marks:
+    readings = {k: READINGS[k] for k in READINGS if verbatim or k != "verbatim"}
+    items, wins, lengths = {}, None, {}
+    for kind, (words, hashes, typed) in readings.items():
+        its = benchmark.select(col(item_col).alias("item"), words(text_of(item_text)).alias("words"))
+        its = its.filter(F.size("words") >= min_words).withColumn("hashes", hashes(F.col("words"))).withColumn("len", F.least(F.size("words"), F.lit(window)))
+        items[kind] = its = stored(its, "benchmark-words")
+        lengths[kind] = sorted(r[0] for r in its.select("len").distinct().collect())  # at most `window` values
+        for n in lengths[kind]:
+            w = its.filter(F.col("len") == n).select("item", "len", "words", F.posexplode(windows(F.col("hashes"), n)).alias("ipos", "win"))
+            plain = 2 * F.size(F.filter(F.slice("words", F.col("ipos") + 1, n), lambda x: slot(x) == 0)) >= n if typed else F.lit(True)
+            w = w.select(F.lit(kind).alias("kind"), "item", "len", "ipos", "win", plain.alias("plain"))
+            wins = w if wins is None else wins.unionByName(w)
+    if wins is None:
         return docs.select(*_digest(text_of(text_col)), F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("n_windows"), F.lit(False).alias("exact")).limit(0)
-    wins = marks[0]
-    for m in marks[1:]:
-        wins = wins.unionByName(m)
-    per_item = wins.groupBy("item").agg(F.max("plain").alias("any_plain"))
-    wins = wins.join(per_item, "item").filter(F.col("plain") | ~F.col("any_plain"))
-    wins = stored(wins.select("item", "len", "ipos", "win"), "benchmark-windows")
-    needed = wins.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
+    per_item = wins.groupBy("kind", "item").agg(F.max("plain").alias("any_plain"))
+    wins = wins.join(per_item, ["kind", "item"]).filter(F.col("plain") | ~F.col("any_plain"))
+    wins = stored(wins.select("kind", "item", "len", "ipos", "win"), "benchmark-windows")
+    needed = wins.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n_windows"))
     n_wins = wins.count()
 
     text = text_of(text_col)
     base = docs.select(*_digest(text), text.alias("text"))
     found = None
-    for n in lengths:
-        w = base.select("t1", "t2", F.posexplode_outer(windows(template(tokens(F.col("text"))), n)).alias("pos", "win"))
-        hit = w.join(maybe_broadcast(wins.filter(F.col("len") == n), n_wins), "win").select("t1", "t2", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
-        found = hit if found is None else found.unionByName(hit)
+    for kind, (words, hashes, _) in readings.items():
+        for n in lengths[kind]:
+            w = base.select("t1", "t2", F.posexplode_outer(windows(hashes(words(F.col("text"))), n)).alias("pos", "win"))
+            own = wins.filter((F.col("kind") == kind) & (F.col("len") == n))
+            hit = w.join(maybe_broadcast(own, n_wins), "win").select("kind", "t1", "t2", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
+            found = hit if found is None else found.unionByName(hit)
     lines = (
-        found.distinct().groupBy("t1", "t2", "item", "shift").agg(F.count(F.lit(1)).alias("hits"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
-        .join(needed, "item").filter(F.col("hits") >= F.least(F.col("n_windows"), F.lit(hits)))
+        found.distinct().groupBy("kind", "t1", "t2", "item", "shift").agg(F.count(F.lit(1)).alias("hits"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
+        .join(needed, ["kind", "item"]).filter(F.col("hits") >= F.least(F.col("n_windows"), F.lit(hits)))
     )
     lines = stored(lines, "template-hits")
 
     # The words behind the hits: only texts with a long enough diagonal are read again.
-    texts = lines.select("t1", "t2").distinct()
+    typed_lines = lines.filter(F.col("kind") != "verbatim")
+    texts = typed_lines.select("t1", "t2").distinct()
     n_texts = texts.count()
     held = docs.select(*_digest(text), text.alias("text")).join(maybe_broadcast(texts, n_texts), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.any_value("text").alias("text"))
-    held = stored(held.select("t1", "t2", tokens(F.col("text")).alias("dwords")), "hit-texts")
+    held = stored(held, "hit-texts")
+    # Verbatim lines have nothing to compare; they are exact if no window between the first and the last is missing.
+    accepted = lines.filter(F.col("kind") == "verbatim").select("t1", "t2", "item", "shift", "hits", "n_windows", (F.col("hits") == F.col("hi") - F.col("lo") + 1).alias("exact"))
+    for kind, (words, _, typed) in readings.items():
+        if typed:
+            accepted = accepted.unionByName(_consistent(typed_lines.filter(F.col("kind") == kind), items[kind], held.select("t1", "t2", words(F.col("text")).alias("dwords")), verbatim))
+    out = accepted.groupBy("t1", "t2", "item").agg(F.max(F.struct("hits", F.negative("shift").alias("back"), "exact", "n_windows")).alias("m"))
+    return stored(out.select("t1", "t2", F.col("item").alias("item_id"), F.negative("m.back").alias("shift"), "m.hits", "m.n_windows", "m.exact"), "leaks")
+
+
+def _consistent(lines: DataFrame, items: DataFrame, held: DataFrame, changed_only: bool) -> DataFrame:
+    """The lines under which each value of the item stands for one value of the text; values that stayed count unless `changed_only`."""
     lined = stored(lines.join(items.select("item", "words", "len"), "item"), "hit-items").join(held, ["t1", "t2"])
     size = F.col("hi") - F.col("lo") + F.col("len")
     pair = F.arrays_zip(F.slice("words", F.col("lo") + 1, size).alias("i"), F.slice("dwords", F.col("lo") + F.col("shift") + 1, size).alias("d"))
     lined = lined.withColumn("pairs", F.transform(pair, lambda p: F.struct(slot(p["i"]).alias("k"), F.lower(p["i"]).alias("i"), slot(p["d"]).alias("dk"), F.lower(p["d"]).alias("d"))))
-    slots = F.array_distinct(F.transform(F.filter("pairs", lambda p: (p["k"] > 0) & (p["k"] == p["dk"])), lambda p: F.struct(p["k"].alias("k"), p["i"].alias("i"), p["d"].alias("d"))))
+    counted = (lambda p: p["i"] != p["d"]) if changed_only else (lambda p: F.lit(True))
+    slots = F.array_distinct(F.transform(F.filter("pairs", lambda p: (p["k"] > 0) & (p["k"] == p["dk"]) & counted(p)), lambda p: F.struct(p["k"].alias("k"), p["i"].alias("i"), p["d"].alias("d"))))
     lined = lined.withColumn("slots", slots)
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["k"].alias("k"), s["i"].alias("v"))))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["k"].alias("k"), s["d"].alias("v"))))) == F.size("slots"))
+    one_value = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["k"].alias("k"), s["i"].alias("v"))))) == F.size("slots")
     exact = F.forall("pairs", lambda p: p["i"].eqNullSafe(p["d"]))
-    out = lined.filter(one_to_one).groupBy("t1", "t2", "item").agg(F.max(F.struct("hits", F.negative("shift").alias("back"), exact.alias("exact"), "n_windows")).alias("m"))
-    return stored(out.select("t1", "t2", F.col("item").alias("item_id"), F.negative("m.back").alias("shift"), "m.hits", "m.n_windows", "m.exact"), "leaks")
+    return lined.filter(one_value).select("t1", "t2", "item", "shift", "hits", "n_windows", exact.alias("exact"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -32,3 +32,16 @@ def test_odd_texts(spark, odd_docs, no_docs):
     assert drop_leaks(odd_docs, bench.limit(0)).columns == odd_docs.columns
     own = odd_docs.filter("doc_id = 10").selectExpr("1L as item_id", "text")
     assert sorted(r.doc_id for r in find_leaks(odd_docs, own).collect()) == [10, 11]
+
+
+def test_near_verbatim(spark):
+    """One occurrence of a repeated name changed, other case, two values that fall on one."""
+    upper_head = " ".join(w.upper() if i < 20 else "other" for i, w in enumerate(ITEM.split()))
+    docs = [ITEM.replace("Hamburg station", "Rome station"), ITEM.upper(), ITEM.lower(), ITEM.title(), upper_head, " ".join(ITEM.split()[:12]), prose(8, 500)]
+    bench, df = leaked(spark, docs)
+    found = {r.doc_id for r in find_leaks(df, bench, verbatim=True).collect()}
+    assert found == {0, 1, 2, 3, 4}
+    assert {r.doc_id for r in drop_leaks(df, bench, verbatim=True).collect()} == {5, 6}
+    merged = ITEM.replace("at 9", "at 4").replace("3 hours", "4 hours").replace("300", "700")
+    bench, df = leaked(spark, [merged])
+    assert [r.doc_id for r in find_leaks(df, bench).collect()] == [0]
