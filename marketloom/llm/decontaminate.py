@@ -17,7 +17,7 @@ from .common import col, fresh, let, maybe_broadcast, stored, text_of
 
 #: Template words in a window, hits needed on one diagonal (13 words in a row), and the shortest item that is searched for.
 WINDOW, HITS, MIN_WORDS = 8, 6, 5
-NAME, UNIT = "\u0002", "\u0003"
+NAME, UNIT, RUN = "\u0002", "\u0003", "\u0004"
 #: Fixed list of unit words that may follow a number.
 UNITS = (
     "km", "m", "cm", "mm", "mi", "ft", "in", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "h", "hr", "hrs", "hour", "hours", "min", "minutes", "s", "sec", "seconds", "day", "days", "week", "weeks",
@@ -33,6 +33,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(units, rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}]+"), lambda w: w != "")
 
 
+def canonical(text: Column) -> Column:
+    """As `tokens`, but every capitalised word is a name, at the start of a sentence too, a run of names is one word, and so is a number with its separators."""
+    marked = F.regexp_replace(F.translate(text, NAME + UNIT + RUN, "   "), r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{Ll})", NAME)
+    runs = F.regexp_replace(marked, rf"(?<=[\p{{L}}\p{{N}}]) {NAME}(?<={NAME}[\p{{L}}\p{{N}}]{{1,40}} {NAME})", RUN)
+    units = F.regexp_replace(runs, rf"(\p{{N}}) ?((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    return F.filter(F.split(units, rf"(?:[^\p{{L}}\p{{N}}{NAME}{UNIT}{RUN}.,]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"), lambda w: w != "")
+
+
+def n_words(words: Column, n: Column) -> Column:
+    """How many words, as `tokens` counts them, the first `n` of `words` hold."""
+    return F.aggregate(F.slice(words, F.lit(1), n), F.lit(0), lambda s, w: s + F.size(F.split(w, rf"[{RUN}.,]+")))
+
+
 def slot(word: Column) -> Column:
     """1 name, 2 unit, 3 number, 0 a plain word."""
     first = F.substring(word, 1, 1)
@@ -78,7 +91,7 @@ def verbatim_hashes(words: Column) -> Column:
 
 
 #: How a text is read: its words, their hashes, and whether some of them are placeholders.
-READINGS = {"template": (tokens, template, True), "verbatim": (folded, verbatim_hashes, False)}
+READINGS = {"template": (tokens, template, True), "canonical": (canonical, template, True), "verbatim": (folded, verbatim_hashes, False)}
 
 
 def _digest(text: Column) -> list[Column]:
@@ -161,7 +174,8 @@ def _consistent(lines: DataFrame, items: DataFrame, held: DataFrame, changed_onl
     lined = lined.withColumn("slots", slots)
     one_value = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["k"].alias("k"), s["i"].alias("v"))))) == F.size("slots")
     exact = F.forall("pairs", lambda p: p["i"].eqNullSafe(p["d"]))
-    return lined.filter(one_value).select("t1", "t2", "item", "shift", "hits", "n_windows", exact.alias("exact"))
+    shift = n_words(F.col("dwords"), F.col("lo") + F.col("shift")) - n_words(F.col("words"), F.col("lo"))
+    return lined.filter(one_value).select("t1", "t2", "item", shift.alias("shift"), "hits", "n_windows", exact.alias("exact"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

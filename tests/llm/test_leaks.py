@@ -45,3 +45,15 @@ def test_near_verbatim(spark):
     merged = ITEM.replace("at 9", "at 4").replace("3 hours", "4 hours").replace("300", "700")
     bench, df = leaked(spark, [merged])
     assert [r.doc_id for r in find_leaks(df, bench).collect()] == [0]
+
+
+def test_canonical_placeholders(spark):
+    """Names at the start of a sentence or quote, numbers with separators, names of several words."""
+    item = "Tom has 3 apples in his old basket. Tom buys 5 more at the market. Tom eats 2 of them, now how many are left?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    lead = "Well then, New York is far away. "
+    docs = [item.replace("Tom", "Anna"), item.replace("3", "2.5").replace("5 more", "1,000 more").replace("eats 2", "eats 1.5"), item.replace("Tom", "Anna Maria Berg"), lead + '"' + item.replace("Tom", "Anna Berg").replace("3", "12.5"), prose(8, 500)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r.doc_id: r for r in find_leaks(df, bench).collect()}
+    assert set(found) == {0, 1, 2, 3} and not any(r.exact for r in found.values())
+    assert found[0]["shift"] == 0 and found[3]["shift"] == len(lead.split())
