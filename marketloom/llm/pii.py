@@ -39,8 +39,8 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 MARK, SPACE, NUMERIC, DIGITS = re.compile(r"[0-9@]"), re.compile(r"\s"), re.compile(r"[0-9().+-]+"), re.compile(r"[^0-9]+")
-#: Bounds of the sample the potentials are learned from, and of the shapes they know.
-FIT_DOCS, SHAPES = 20_000, 2_000
+#: Bound of the shapes the potentials know.
+SHAPES = 2_000
 SWEEPS, DAMPING, SURE, NEAR = 10, 0.3, 0.8, 60
 ODDS, APART = (-2.5, -1.0), -2.0
 
@@ -160,19 +160,13 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "shape", "y", "z", "n"])
 
 
-def learn(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, shapes: int = SHAPES) -> Potentials:
-    """Potentials from the base labels of at most `fit_docs` texts (those of the smallest hashes); counts are combined by Spark."""
-    # Hashes only are ordered; as many texts are then read again.
-    text = text_of(text_col)
-    cut = docs.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(fit_docs).agg(F.max("h").alias("h")).first()["h"]
-    if cut is None:
-        seen = []
-    else:
-        sample = docs.select(text.alias("text")).filter(F.xxhash64("text") <= cut).distinct()
-        counts = stored(sample.mapInPandas(_observe, "what string, shape string, y int, z int, n bigint").groupBy("what", "shape", "y", "z").agg(F.sum("n").alias("n")), "pii-counts")
-        known = counts.filter("what = 'shape'").groupBy("shape").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "shape").limit(shapes).select("shape", F.lit(True).alias("kept"))
-        few = counts.join(F.broadcast(known), "shape", "left").groupBy("what", F.when(F.col("kept") | (F.col("what") != "shape"), F.col("shape")).alias("shape"), "y", "z").agg(F.sum("n").alias("n"))
-        seen = few.collect()  # at most (shapes + 1) * 5 + 2 * 25 rows
+def learn(docs: DataFrame, text_col: str = "text", shapes: int = SHAPES) -> Potentials:
+    """Potentials from the base labels of all different texts; counts are combined by Spark."""
+    texts = docs.select(text_of(text_col).alias("text")).distinct()
+    counts = stored(texts.mapInPandas(_observe, "what string, shape string, y int, z int, n bigint").groupBy("what", "shape", "y", "z").agg(F.sum("n").alias("n")), "pii-counts")
+    known = counts.filter("what = 'shape'").groupBy("shape").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "shape").limit(shapes).select("shape", F.lit(True).alias("kept"))
+    few = counts.join(F.broadcast(known), "shape", "left").groupBy("what", F.when(F.col("kept") | (F.col("what") != "shape"), F.col("shape")).alias("shape"), "y", "z").agg(F.sum("n").alias("n"))
+    seen = few.collect()  # at most (shapes + 1) * 5 + 2 * 25 rows
     n = OUT + 1
     by_shape: dict[str, np.ndarray] = {}
     pair = {"chain": np.ones((n, n)), "skip": np.ones((n, n)) + 2 * np.eye(n)}
@@ -231,8 +225,6 @@ def added_spans(texts: list[str], bases: list[list[Span]], p: Potentials) -> lis
     nodes: list[tuple[int, int, int]] = []
     labels: list[int] = []
     for t, (text, base) in enumerate(zip(texts, bases, strict=True)):
-        if not base:  # without one given label nothing can be supported
-            continue
         own, ys, chain, skip = graph(text, base)
         at = len(nodes)
         nodes += [(t, a, b) for a, b in own]

@@ -89,3 +89,16 @@ def test_skip_edges_carry_labels(odd_docs, no_docs, spark):
         base = [f"{k}:{a}:{b}" for k, a, b in plain_spans(odd_docs.filter("doc_id = 13").first()["text"] if r.doc_id == 13 else "")]
         assert set(base) <= set(r.spans.split(",")) or not base
     assert pii.find_pii(no_docs).count() == 0
+
+
+def test_field_does_not_need_a_base_span():
+    """Repeats that support each other are labelled whether or not an unrelated address stands in the text."""
+    n = pii.OUT + 1
+    skip = np.full((n, n), -1.0)
+    skip[range(pii.OUT), range(pii.OUT)] = 4.0
+    skip[pii.OUT, pii.OUT] = 0.0
+    p = pii.Potentials({}, [-1.0 if k == "phone" else -5.0 for k in pii.KINDS] + [0.0], np.zeros((n, n)), skip)
+    alone = " and then ".join(["555-6268"] * 6)
+    far = alone + " x" * 200 + " ann@example.org"
+    added = [pii.added_spans([t], [pii.base_spans(t)], p)[0] for t in (alone, far)]
+    assert pii.base_spans(alone) == [] and added[0] == added[1] and len(added[0]) == 6
