@@ -16,7 +16,9 @@ from .decontaminate import find_leaks
 from .exact_dedup import mark_copies
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .near_dedup import similarity_classes
+from .phrases import collocations
 from .pii import find_pii
+from .ranked_search import search
 from .token_counts import count_tokens
 from .token_files import token_index, write_tokens
 from .toxicity import score_toxicity
@@ -124,6 +126,54 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, 'allow') AS verdict FROM
 """
 
 
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of each language."""
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLE["op11_phrases"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, w, len(w) AS m FROM (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces) WHERE len(w) > 0),
+totals AS (SELECT lang, CAST(sum(m) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, m - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE m >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+longer AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS one, array_to_string(w[cut + 1:k], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS cut FROM longer)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.one JOIN f y ON y.lang = c.lang AND y.phrase = c.two),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(f) AS cover FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM longer WHERE k >= 3)) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE cover IS NULL OR 100::HUGEINT * cover < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def _term_sql(source: str, key: str) -> str:
+    """(key, term, tf) of a table's texts."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM {source}) GROUP BY {key}, term"
+
+
+ORACLE["op12_ranked_search"] = f"""
+WITH d AS ({_term_sql("documents", "doc_id")}), q AS ({_term_sql("benchmark", "item_id")}),
+lens AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY doc_id),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lens),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM d, totals GROUP BY term),
+scores AS (SELECT q.item_id, d.doc_id, CAST(sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+           FROM q JOIN d USING (term) JOIN weights USING (term) JOIN lens USING (doc_id), totals GROUP BY q.item_id, d.doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 @query
 def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of each label: partners, and the smallest vec_id that links reach."""
