@@ -46,9 +46,8 @@ UNKNOWN = "und"
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
 
-def _hashed(words: pa.Array) -> np.ndarray:
+def _hashed(coded: pa.DictionaryArray) -> np.ndarray:
     """A 64-bit hash of each word."""
-    coded = words.dictionary_encode()
     if not len(coded.dictionary):
         return np.empty(0, dtype=np.uint64)
     return pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy()]
@@ -59,12 +58,11 @@ def _ends(starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts[1:], np.diff(starts))
 
 
-def chunks(pieces: list[bytes], counts: list[int]) -> Counter:
-    """(inner, chunk) -> how often it is parsed in these pieces; an inner chunk begins with the overlap."""
-    out: Counter = Counter()
+def chunks(pieces: list[bytes], counts: list[int]) -> tuple[list[bool], list[bytes], list[int]]:
+    """The chunks of these pieces, and how often each is parsed; an inner chunk begins with the overlap. A chunk of several pieces may be listed several times."""
     lists = pc.split_pattern(pa.array(pieces, pa.string()), " ")
     starts = lists.offsets.to_numpy().astype(np.int64)
-    h = _hashed(lists.flatten())
+    h = _hashed(lists.flatten().dictionary_encode())
     n = len(h)
     at = np.arange(max(0, n - OVERLAP))
     trigger = at[(at + OVERLAP < _ends(starts)[at]) & (at > np.repeat(starts[:-1], np.diff(starts))[at])]
@@ -73,15 +71,15 @@ def chunks(pieces: list[bytes], counts: list[int]) -> Counter:
         window = mix(window * GOLD + h[trigger + i])
     trigger = trigger[mix(window) % np.uint64(MODULUS) == 0]
     low, high = np.searchsorted(trigger, starts[:-1]), np.searchsorted(trigger, starts[1:])
-    for p in np.flatnonzero(low == high):
-        out[False, pieces[p]] += counts[p]
-    for p in np.flatnonzero(low < high):
+    whole = np.flatnonzero(low == high).tolist()
+    out: Counter = Counter()
+    for p in np.flatnonzero(low < high).tolist():
         words, inner, begin = pieces[p].split(b" "), False, 0
         for t in (trigger[low[p]:high[p]] - starts[p]).tolist():
             out[inner, b" ".join(words[begin:t + OVERLAP])] += counts[p]
             inner, begin = True, t
         out[inner, b" ".join(words[begin:])] += counts[p]
-    return out
+    return [False] * len(whole) + [k[0] for k in out], [pieces[p] for p in whole] + [k[1] for k in out], [counts[p] for p in whole] + list(out.values())
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +101,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pieces[clean] += n
                 i = j
                 if pieces:
-                    got = chunks(list(pieces), list(pieces.values()))
-                    inner, text = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(inner, pa.bool_()), pa.array(text, pa.string()), pa.array(list(got.values()), pa.int64())], ["lang", "inner", "chunk", "n"])
+                    inner, text, n = chunks(list(pieces), list(pieces.values()))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(inner, pa.bool_()), pa.array(text, pa.string()), pa.array(n, pa.int64())], ["lang", "inner", "chunk", "n"])
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -130,12 +127,14 @@ class Windows:
         self.starts = lists.offsets.to_numpy().astype(np.int64)
         self.starts = self.starts - self.starts[0]
         self.words = lists.flatten()
+        coded = self.words.dictionary_encode()
+        self.codes = coded.indices.to_numpy()
         lens = np.diff(self.starts)
         langs = batch.column(0).dictionary_encode()
         self.lang = np.repeat(langs.indices.to_numpy(), lens)
         self.lang_names = langs.dictionary.to_pylist()
         salt = pd.util.hash_array(np.array([f"lang {x}" for x in self.lang_names], dtype=object), categorize=False)
-        self.one = mix(_hashed(self.words) * MIX2 + salt[self.lang])
+        self.one = mix(_hashed(coded) * MIX2 + salt[self.lang])
         self.n = np.repeat(batch.column(3).to_numpy(), lens)
         self.end = _ends(self.starts)
         #: The first place where a phrase may end (exclusive) to be counted in its chunk.
@@ -155,13 +154,20 @@ class Windows:
 
 
 def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of about STEP_WORDS words together."""
+    """Slices of about STEP_WORDS words together, put together from smaller batches."""
+    held, size = [], 0
     for b in batches:
-        size = np.cumsum(pc.binary_length(b.column(2)).to_numpy()) // (6 * STEP_WORDS)
-        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+        words = np.cumsum(pc.binary_length(b.column(2)).to_numpy()) // 6
+        cuts = [0, *(np.flatnonzero(np.diff(words // STEP_WORDS)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
-                yield b.slice(lo, hi - lo)
+                held.append(b.slice(lo, hi - lo))
+                size += int(words[hi - 1] - (words[lo - 1] if lo else 0))
+                if size >= STEP_WORDS:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,10 +207,9 @@ def _phrase_counts(shared: list):
                 _, n, order, first = _summed(h, w.n[at])
                 at = at[order]
                 head = np.repeat(at[first], np.diff(np.append(first, len(at))))
-                codes = w.words.dictionary_encode().indices.to_numpy()
                 same = w.lang[at] == w.lang[head]
                 for i in range(k):
-                    same &= codes[at + i] == codes[head + i]
+                    same &= w.codes[at + i] == w.codes[head + i]
                 if same.all():
                     lead = at[first]
                 else:  # two phrases with one hash: every place stands for itself

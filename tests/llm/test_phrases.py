@@ -65,9 +65,9 @@ def test_collocations(spark, modulus, least, monkeypatch):
 def test_chunks_are_equal_wherever_they_stand():
     """A shared stretch has the same inner chunks in both texts, and the chunks of a piece overlap by three words."""
     shared = prose(3, 400)
-    one, two = (chunks([f"{a} {shared} {a}".encode()], [1]) for a in ("left side", "another start here"))
-    assert len({c for inner, c in one if inner} & {c for inner, c in two if inner}) > 10
-    assert sum(len(c.split()) - (3 if inner else 0) for (inner, c), n in one.items() for _ in range(n)) == 404
+    one, two = (list(zip(*chunks([f"{a} {shared} {a}".encode()], [1]), strict=True)) for a in ("left side", "another start here"))
+    assert len({c for inner, c, _ in one if inner} & {c for inner, c, _ in two if inner}) > 10
+    assert sum(n * (len(c.split()) - (3 if inner else 0)) for inner, c, n in one) == 404
 
 
 def test_empty(spark, no_docs, odd_docs):
