@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.expr import first_alias, flag
-from .asof import asof_join
 from .dedupe import dedupe_near_identical
 from .series import DAY, Layout, blocked, full, lag
 
@@ -79,64 +78,90 @@ def process_texts(news, social=None, cfg: SentimentConfig = SentimentConfig(), u
     return score_events(rows.join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), cfg, universe)
 
 
-def _flip(c) -> Column:
-    """Time mirrored about the epoch: turns `first at or after` into as-of."""
-    return F.timestamp_micros(-F.unix_micros(c))
+def moment(n: Column, weight: Column, mean: Column, m2: Column) -> Column:
+    """Count, weight, weighted mean and centred second moment of some events, decayed to one point in time."""
+    return F.struct(n.alias("n"), weight.alias("w"), mean.alias("mean"), m2.alias("m2"))
 
 
-def decayed_sums(timeline: DataFrame, events: DataFrame, win: int, half_life_minutes: float, key: str = "symbol") -> DataFrame:
-    """Per (key, timestamp): count and decayed sums over events in (t-win, t].
+def merged(a: Column, b: Column) -> Column:
+    """The moment of two disjoint sets of events; null stands for none. Sums only, so nothing cancels."""
+    w = a["w"] + b["w"]
+    away = b["mean"] - a["mean"]
+    both = moment(a["n"] + b["n"], w, a["mean"] + away * b["w"] / w, a["m2"] + b["m2"] + away * away * a["w"] * b["w"] / w)
+    none = lambda x: x.isNull() | (x["w"] <= 0)
+    count = lambda x, y: moment(x["n"] + F.coalesce(y["n"], F.lit(0)), x["w"], x["mean"], x["m2"])
+    return F.when(a.isNull(), b).when(b.isNull(), a).when(none(a), count(b, a)).when(none(b), count(a, b)).otherwise(both)
 
-    Events are first combined per pair of (first stamp that sees them, first
-    stamp that no longer does); all of them decay alike between stamps.  Only
-    those sums are spread over the stamps in between, so the spread does not
-    grow with the number of events.
+
+def decayed_moments(timeline: DataFrame, events: DataFrame, windows: dict[str, int], half_life_minutes: float, key: str = "symbol") -> DataFrame:
+    """Every (key, timestamp) with a moment of the events in (t-win, t] for each window, named like it; null where there is none.
+
+    Time is cut into cells as wide as the window, so (t-win, t] is a prefix of
+    the stamp's own cell and a suffix of the cell before. Both are running sums
+    over one sorted cell: events and probes of the stamps lie in it together.
+    Events of one stamp and score are combined first, so a cell holds at most its
+    different stamps and scores, however many events there are. Sums are taken
+    about the cell's mean, and the two parts are merged; nothing is subtracted.
+    All windows share one exchange to the cells and one back. Weights older than
+    about a thousand half-lives are zero.
     """
-    tl = timeline.select(key, "timestamp").distinct().withColumn("_n", _flip("timestamp"))
-    ev = events.select(key, F.col("timestamp").alias("s"), F.col("source_weight").alias("w"), F.col("sentiment_score").alias("v"))
-    ev = ev.withColumns({"_n": _flip("s")})
-    side = tl.select(key, "_n", F.col("timestamp").alias("t"))
-    a = asof_join(ev, side, prefix="i", keys=(key,), time="_n").withColumnRenamed("i__t", "t_in").drop("i__asof_timestamp")
-    a = a.filter(F.col("t_in").isNotNull() & (F.unix_micros("t_in") < F.unix_micros("s") + win * 1_000_000))
-    a = a.withColumn("_n", _flip(F.timestamp_micros(F.unix_micros("s") + win * 1_000_000)))
-    a = asof_join(a, side, prefix="o", keys=(key,), time="_n").withColumnRenamed("o__t", "t_out")
-    rate = -math.log(2.0) / (half_life_minutes * 60.0 * 1e6)
-    decay = F.exp((F.unix_micros("t_in") - F.unix_micros("s")) * F.lit(rate)) * F.col("w")
-    g = a.groupBy(key, "t_in", "t_out").agg(F.count("*").alias("n"), F.sum(decay).alias("sw"), F.sum(decay * F.col("v")).alias("swv"), F.sum(decay * F.col("v") * F.col("v")).alias("swvv"))
-    cell = lambda c: F.floor(F.unix_micros(c) / F.lit(win * 1_000_000))
-    g = g.withColumn("_c", F.explode(F.array(cell("t_in"), cell("t_in") + 1)))
-    bars = tl.select(key, "timestamp", cell("timestamp").alias("_c"))
-    j = bars.join(g, [key, "_c"]).filter((F.col("timestamp") >= F.col("t_in")) & (F.col("t_out").isNull() | (F.col("timestamp") < F.col("t_out"))))
-    f = F.exp((F.unix_micros("timestamp") - F.unix_micros("t_in")) * F.lit(rate))
-    return j.groupBy(key, "timestamp").agg(F.sum("n").alias("n"), F.sum(F.col("sw") * f).alias("sw"), F.sum(F.col("swv") * f).alias("swv"), F.sum(F.col("swvv") * f).alias("swvv"))
+    rate = math.log(2.0) / (half_life_minutes * 60.0 * 1e6)
+    names = list(windows)
+    wide = F.element_at(F.array(*[F.lit(windows[w] * 1_000_000) for w in names]), F.col("_w") + 1)
+    each = F.explode(F.array(*[F.lit(i) for i in range(len(names))])).alias("_w")
+    ev = events.groupBy(key, F.unix_micros("timestamp").alias("_s"), F.col("sentiment_score").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.sum("source_weight").alias("_x"))
+    ev = ev.select("*", each).withColumn("_span", wide)
+    ev = ev.select(key, "_w", F.floor(F.col("_s") / F.col("_span")).alias("_c"), F.col("_s").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_t"), "_n", "_x", "_v", "_span")
+    stamps = timeline.select(key, F.unix_micros("timestamp").alias("_t")).distinct().select("*", each).withColumn("_span", wide)
+    probes = stamps.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("_kind")).withColumn("_at", F.when(F.col("_kind") == 1, F.col("_t")).otherwise(F.col("_t") - F.col("_span")))
+    probes = probes.select(key, "_w", F.floor(F.col("_at") / F.col("_span")).alias("_c"), "_at", "_kind", "_t", F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_x"), F.lit(None).cast("double").alias("_v"), "_span")
+    cell = Window.partitionBy(key, "_w", "_c")
+    end = (F.col("_c") + 1) * F.col("_span")
+    d = ev.unionByName(probes).withColumn("_x", F.col("_x") * F.exp((F.col("_at") - end) * F.lit(rate)))  # weights at the end of the cell
+    d = d.withColumn("_mid", F.sum(F.col("_x") * F.col("_v")).over(cell) / F.sum("_x").over(cell))
+    off = F.coalesce(F.col("_v") - F.col("_mid"), F.lit(0.0))
+    d = d.withColumns({"_d1": F.col("_x") * off, "_d2": F.col("_x") * off * off})
+    # Up to the stamp: events before the probe at equal times. After the stamp less the window: backwards, the probe before events.
+    up = cell.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = cell.orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    part = lambda c: F.when(F.col("_kind") == 1, F.sum(c).over(up)).otherwise(F.sum(c).over(down))
+    d = d.withColumns({f"_r{c}": part(c) for c in ("_n", "_x", "_d1", "_d2")}).filter(F.col("_kind") > 0)
+    now = F.exp((end - F.col("_t")) * F.lit(rate))
+    centre = F.try_divide(F.col("_r_d1"), F.col("_r_x"))
+    d = d.withColumn("_m", F.when(F.col("_r_n") > 0, moment(F.col("_r_n"), F.col("_r_x") * now, F.col("_mid") + centre, F.greatest(F.col("_r_d2") - F.col("_r_d1") * centre, F.lit(0.0)) * now)))
+    side = lambda i, k: F.max(F.when((F.col("_w") == i) & (F.col("_kind") == k), F.col("_m")))  # noqa: E731  one row each
+    g = d.groupBy(key, "_t").agg(*[side(i, k).alias(f"_{i}_{k}") for i in range(len(names)) for k in (1, 2)])
+    return g.select(key, F.timestamp_micros("_t").alias("timestamp"), *[merged(F.col(f"_{i}_1"), F.col(f"_{i}_2")).alias(w) for i, w in enumerate(names)])
 
 
 def sentiment_features(timeline: DataFrame, events: DataFrame, cfg: SentimentConfig = SentimentConfig(), layout: Layout = Layout(span=32 * DAY)) -> DataFrame:
-    """sent_* columns for every (symbol, timestamp) of the timeline."""
+    """sent_* columns for every (symbol, timestamp) of the timeline; unlinked events count for every symbol and are summed once per stamp."""
     base = timeline.select("symbol", "timestamp").distinct()
-    linked = events.filter(F.col("primary_ticker").isNotNull()).withColumn("symbol", F.upper("primary_ticker"))
-    loose = events.filter(F.col("primary_ticker").isNull()).withColumn("symbol", F.lit("*"))
-    out = base
+    windows = {w: window_seconds(w) for w in cfg.windows}
     half = max(cfg.half_life_minutes, 1.0)
-    for w in cfg.windows:
-        win = window_seconds(w)
-        sums = decayed_sums(base, linked, win, half)
-        d = out.join(sums, ["symbol", "timestamp"], "left")
-        cols = ["n", "sw", "swv", "swvv"]
-        if cfg.include_unlinked:
-            # unlinked events count for every symbol: summed once per stamp
-            stamps = base.select(F.lit("*").alias("symbol"), "timestamp").distinct()
-            ls = decayed_sums(stamps, loose, win, half).select("timestamp", *[F.col(x).alias(f"l_{x}") for x in cols])
-            d = d.join(ls, "timestamp", "left").withColumns({x: F.coalesce(x, F.lit(0.0)) + F.coalesce(f"l_{x}", F.lit(0.0)) for x in cols}).drop(*[f"l_{x}" for x in cols])
-        else:
-            d = d.withColumns({x: F.coalesce(x, F.lit(0.0)) for x in cols})
-        mean = F.when(F.col("sw") > 1e-12, F.col("swv") / F.col("sw"))
-        d = d.withColumns({f"sent_sentiment_mean_w{w}": mean, f"sent_sentiment_vol_w{w}": F.sqrt(F.greatest(F.when(F.col("sw") > 1e-12, F.col("swvv") / F.col("sw")) - mean * mean, F.lit(0.0) * mean)),
-                           f"sent_attention_count_w{w}": F.col("n").cast("double"), f"sent_attention_weighted_w{w}": F.col("sw")})
-        out = d.drop(*cols)
+    who = F.upper("primary_ticker")
+    everyone = "\u0000"  # no symbol
+    events = events.filter(F.col("sentiment_score").isNotNull())
+    if cfg.include_unlinked:
+        events = events.withColumn("symbol", F.coalesce(who, F.lit(everyone)))
+        stamps = timeline.select(F.explode(F.array("symbol", F.lit(everyone))).alias("symbol"), "timestamp")
+    else:
+        events, stamps = events.filter(F.col("primary_ticker").isNotNull()).withColumn("symbol", who), base
+    out = decayed_moments(stamps, events, windows, half)
+    if cfg.include_unlinked:
+        at = Window.partitionBy("timestamp")  # a row for each symbol of the universe
+        loose = {w: F.max(F.when(F.col("symbol") == everyone, F.col(w))).over(at) for w in windows}
+        out = out.withColumns({w: merged(F.col(w), loose[w]) for w in windows}).filter(F.col("symbol") != everyone)
+    cols = {}
+    for w in windows:
+        m, weight = F.col(w), F.coalesce(F.col(w)["w"], F.lit(0.0))
+        known = weight > 1e-12
+        cols |= {f"sent_sentiment_mean_w{w}": F.when(known, m["mean"]), f"sent_sentiment_vol_w{w}": F.when(known, F.sqrt(m["m2"] / weight)),
+                 f"sent_attention_count_w{w}": F.coalesce(m["n"], F.lit(0)).cast("double"), f"sent_attention_weighted_w{w}": weight}
+    out = out.withColumns(cols).drop(*windows)
     n = max(cfg.spike_lookback, 1)
     m = min(n, max(3, n // 2))
-    b = blocked(out, layout, back=n)
+    b = blocked(out, layout, back=n, like=base)
     z = lambda x: (F.col(x) - full(b, F.col(x), n, F.avg, m)) / (full(b, F.col(x), n, F.stddev_samp, m) + 1e-9)
     b.stage({k: v for w in cfg.windows for k, v in {
         f"sent_sentiment_change_w{w}": F.col(f"sent_sentiment_mean_w{w}") - lag(b, f"sent_sentiment_mean_w{w}"),

@@ -65,18 +65,20 @@ _zs = lambda x: f"CASE WHEN count({x}) {Z20} >= 10 THEN ({x} - avg({x}) {Z20}) /
 
 @query("sentiment_windows", "T6 T7 J10",
        f"SELECT symbol, {ts('ts')}, " + ", ".join(
-           rd(f"m{w}", f"sent_sentiment_mean_w{w}") + ", " + rd(f"sqrt(greatest(swvv{w} / sw{w} - m{w} * m{w}, 0 * m{w}))", f"sent_sentiment_vol_w{w}", 4) + ", " + rd(f"n{w}", f"sent_attention_count_w{w}") + ", "
-           + rd(f"sw{w}", f"sent_attention_weighted_w{w}") + ", " + rd(f"m{w} - lag(m{w}) {LAG}", f"sent_sentiment_change_w{w}") + ", " + rd(_zs(f"sw{w}"), f"sent_attention_z_w{w}", 4) for w in SENT_W) + " FROM j",
+           rd(f"m{w}", f"sent_sentiment_mean_w{w}") + ", " + rd(f"sqrt(greatest(swvv{w} / sw{w} - m{w} * m{w}, 0 * m{w}))", f"sent_sentiment_vol_w{w}") + ", " + rd(f"n{w}", f"sent_attention_count_w{w}") + ", "
+           + rd(f"sw{w}", f"sent_attention_weighted_w{w}") + ", " + rd(f"m{w} - lag(m{w}) {LAG}", f"sent_sentiment_change_w{w}") + f", round(za{w}, 5) + 0.0 AS sent_attention_z_w{w}, round(zm{w}, 5) + 0.0 AS sent_sentiment_z_w{w}, "
+           + f"CASE WHEN coalesce(abs(za{w}) >= 2, false) OR coalesce(abs(zm{w}) >= 2, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS sent_spike_flag_w{w}" for w in SENT_W) + " FROM z",
        {**EV, **HOURS, **{f"w{w}": _win_cte(h) for w, h in SENT_W.items()},
         "j": "SELECT a.symbol, a.ts, " + ", ".join(f"{w}_.n AS n{w}, {w}_.sw AS sw{w}, {w}_.swv / CASE WHEN {w}_.sw > 1e-12 THEN {w}_.sw END AS m{w}, {w}_.swvv AS swvv{w}".replace("4H_", "a").replace("1D_", "b") for w in SENT_W)
-             + " FROM w4H a JOIN w1D b ON a.symbol = b.symbol AND a.ts = b.ts"})
+             + " FROM w4H a JOIN w1D b ON a.symbol = b.symbol AND a.ts = b.ts",
+        "z": "SELECT *, " + ", ".join(f"{_zs(f'sw{w}')} AS za{w}, {_zs(f'm{w}')} AS zm{w}" for w in SENT_W) + " FROM j"})
 def sentiment_windows(spark, sf):
+    """All eight columns of both windows. The z columns are compared to five digits: they divide by deviations that may be near the epsilon."""
     tl = src.ticks(spark, sf).select("symbol", F.date_trunc("hour", "timestamp").alias("timestamp")).distinct()
     ev = src.text_events(spark, sf).withColumns({
         "sentiment_score": X.lexicon_score("text", POS, NEG), "source_weight": X.source_weight("source", "channel"), "primary_ticker": F.col("provided_ticker")})
     d = S.sentiment_features(tl, ev.select("timestamp", "primary_ticker", "sentiment_score", "source_weight"), CFG)
-    d = d.withColumns({x: F.round(x, 4) for x in d.columns if "_vol_" in x or "attention_z" in x})
-    return present(d.drop(*[x for x in d.columns if "sentiment_z" in x or "spike" in x]))
+    return present(d.withColumns({x: F.round(x, 5) if "_z_" in x else F.col(x).cast("double") for x in d.columns if x.startswith("sent_")}))
 
 
 def posts(spark, sf):
