@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, div, mid_price, relative_spread
-from .series import DAILY, IX, TOTAL, Layout, attach_row, blocked, full, lag, latest, top_per_key
+from .bars import canonicalize
+from .model_features import model_frame
+from .quality import QualityPolicy, gate_flags, gate_report, gate_rows
+from .series import DAILY, IX, TOTAL, Layout, attach_row, blocked, declare_daily, full, lag, latest, top_per_key
 from .technical import YEAR
 
 z = lambda c, d: F.coalesce(F.col(c), F.lit(d))
@@ -118,6 +124,96 @@ def remaining(universe: DataFrame, done: DataFrame, force: bool = False) -> Data
     return universe if force else universe.join(done.filter("status = 'completed'").select("symbol"), "symbol", "left_anti")
 
 
+# ---- the composed scan -------------------------------------------------------------
+
+#: What a symbol can fail with, by stage.
+SCAN_CODES = {"history": ("no_data", "insufficient_history"), "quality": ("minimum_history",), "features": ("no_features", "invalid_price"), "prediction": ("no_prediction",)}
+
+
+def failing(rows: DataFrame, stage: str, **codes: Column) -> DataFrame:
+    """Rows with (status, stage, code): the first condition that holds fails a row, unless an earlier stage did. Failed rows stay."""
+    code = F.lit(None).cast("string")
+    for name, hit in reversed(codes.items()):
+        code = F.when(F.coalesce(hit, F.lit(False)), name).otherwise(code)
+    if "code" not in rows.columns:
+        rows = rows.withColumns({"stage": F.lit(None).cast("string"), "code": F.lit(None).cast("string")})
+    fresh = F.col("code").isNull() & code.isNotNull()
+    return rows.withColumns({"stage": F.when(fresh, stage).otherwise(F.col("stage")), "code": F.when(fresh, code).otherwise(F.col("code"))})
+
+
+def passing(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The part of `df` whose symbols have not failed."""
+    return df.join(rows.filter("code IS NULL").select("symbol"), "symbol", "left_semi")
+
+
+def universe_scan(universe: DataFrame, bars: DataFrame, predict: Callable[[DataFrame], DataFrame], bench: DataFrame, sector_etf: DataFrame, etf: DataFrame,
+                  *, horizon: int = 5, policy: QualityPolicy = QualityPolicy(), done: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """One row per symbol of `universe`: status, stage and code of a failure, and for the others the whole set-up.
+
+    `bars` are daily; `predict` turns the newest features (`symbol`, `price`, ...)
+    into (symbol, probability_up); `bench` has (ret), `sector_etf` (sector, etf),
+    `etf` (etf, ret), returns over 20 bars. Failure is data: each stage adds its
+    code to the rows that it cannot serve, and later stages work on the bars of
+    the others only. Symbols that `done` has as completed are left out unless
+    `force`, so a scan that was broken off goes on where it stopped.
+    """
+    rows = universe.select("symbol", "sector").dropDuplicates(["symbol"])
+    rows = rows if done is None else remaining(rows, done, force)
+    seen = guards(bars, horizon).select("symbol", "rows", F.col("status").alias("_guard"))
+    span = bars.groupBy("symbol").agg(F.min("timestamp").alias("first_bar"), F.max("timestamp").alias("last_bar"))
+    rows = rows.join(seen, "symbol", "left").join(span, "symbol", "left")
+    rows = failing(rows, "history", no_data=F.col("rows").isNull(), insufficient_history=F.col("_guard") == "insufficient_history").drop("_guard")
+
+    flags = gate_flags(canonicalize(passing(bars, rows)), policy)
+    report = gate_report(flags, policy, horizon).select("symbol", "history_ok", "rows_after")
+    rows = failing(rows.join(report, "symbol", "left"), "quality", minimum_history=~F.col("history_ok")).drop("history_ok")
+    clean = declare_daily(passing(gate_rows(flags), rows).select("symbol", "timestamp", "open", "high", "low", "close", "volume"))
+
+    frame = latest(model_frame(clean, horizon=None), ["symbol"], ["timestamp"]).withColumnRenamed("close", "price").drop("open", "high", "low", "volume", "timestamp")
+    b = blocked(clean.select("symbol", "timestamp", "close"), DAILY, back=20)
+    near = b.rows(-19, 0)
+    b.stage({"ret": F.try_divide(F.col("close"), lag(b, "close", 20)) - 1.0, "gap": F.try_divide(F.col("close"), lag(b, "close")) - 1.0, "recent_high": F.max("close").over(near), "recent_low": F.min("close").over(near)})
+    moves = latest(b.owned(), ["symbol"], ["timestamp"], ["ret", "gap", "recent_high", "recent_low"]).select("symbol", "ret", "gap", "recent_high", "recent_low")
+    rows = rows.join(frame, "symbol", "left").join(moves, "symbol", "left")
+    rows = failing(rows, "features", no_features=F.col("rows_after").isNotNull() & F.col("price").isNull(), invalid_price=F.col("price") <= 0)
+    predicted = predict(rows.filter("code IS NULL")).select("symbol", "probability_up")
+    rows = failing(rows.join(predicted, "symbol", "left"), "prediction", no_prediction=F.col("probability_up").isNull())
+
+    d = attach_row(rows, bench.agg(F.max("ret").alias("bench_ret_20")))
+    d = d.join(sector_etf, "sector", "left").join(etf.select("etf", F.col("ret").alias("sector_ret_20")), "etf", "left")
+    d = context_flags(trade_setup(d, horizon_days=horizon))
+    past = pattern_analogs(passing(clean.select("symbol", "timestamp", "close"), rows), window=max(20, min(45, horizon * 6)), horizon=max(1, horizon))
+    d = d.join(analog_outcomes(past).select("symbol", F.col("count").alias("analogs"), F.col("mean_forward_return").alias("analog_return")), "symbol", "left")
+    ok = F.col("code").isNull()
+    out = {
+        "price": F.col("price"), "bias": F.col("bias"), "setup_type": F.col("setup_type"), "primary_score": F.col("setup_confidence"), "stop_loss": F.col("stop_loss"), "target_1": F.col("target_1"),
+        "trend_state": F.col("trend_state"), "vol_state": F.col("vol_state"), "risk_proxy": F.col("risk_proxy"), "risk_mode": risk_mode("setup_confidence", "vol_state"),
+        "volume_spike": F.col("volume_spike"), "gap_flag": F.col("gap_flag"), "rel_vs_bench": F.col("ret") - F.col("bench_ret_20"), "rel_vs_sector": F.col("ret") - F.col("sector_ret_20"),
+        "distance_to_high": F.try_divide(F.col("price"), F.col("recent_high")) - 1.0, "distance_to_low": F.try_divide(F.col("price"), F.col("recent_low")) - 1.0, "analogs": F.col("analogs"), "analog_return": F.col("analog_return"),
+    }
+    return d.select("symbol", F.when(ok, "completed").otherwise("failed").alias("status"), "stage", "code", "rows", "first_bar", "last_bar", *[F.when(ok, c).alias(k) for k, c in out.items()])
+
+
+def resume_scan(spark, folder: str, run: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+    """Run a scan into a folder, or go on with one: completed symbols are not run again, failed ones are. The newest row of each symbol.
+
+    Each call appends one attempt, so a scan whose driver or executors were lost
+    is called again with the same folder.
+    """
+    def rows() -> DataFrame | None:
+        try:
+            return spark.read.parquet(folder)
+        except AnalysisException as missing:
+            if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    before = rows()
+    attempt = 1 if before is None else before.agg(F.max("attempt")).first()[0] + 1
+    run(before).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(folder)
+    return latest(rows(), ["symbol"], ["attempt"])
+
+
 def momentum_screen(bars: DataFrame, lookback: int = 20, least: float = 0.05) -> DataFrame:
     """Symbols whose newest close is at least 5% over the close lookback-1
     bars earlier, strongest first."""

@@ -8,6 +8,7 @@ from ..operators import backtest as BT
 from ..operators import journal as J
 from ..operators import model_features as MF
 from ..operators import patterns as P
+from ..operators import quality as Q
 from ..operators import regime as R
 from ..operators import risk as RK
 from ..operators import scan as SC
@@ -321,6 +322,50 @@ def scan_remaining(spark, sf):
     return SC.remaining(g.select("symbol"), g.select("symbol", F.when(F.col("n") >= 540, "completed").otherwise("failed").alias("status")))
 
 
+SCAN_POLICY = Q.QualityPolicy("report", "report", "report", "report", "report", min_history_rows_multiplier=61)
+SCAN = {
+    **NEW,
+    "uni": "SELECT symbol, sector FROM sectors UNION ALL SELECT printf('N%05d', n_nationkey), NULL FROM nation",
+    "hist": "SELECT symbol, count(*) AS rows, min(ts) AS first_bar, max(ts) AS last_bar FROM bars GROUP BY 1",
+    "last20": f"SELECT symbol, close / lag(close, 20) {LAG} - 1 AS ret, close / max(close) {over(20)} - 1 AS dhi, close / min(close) {over(20)} - 1 AS dlo FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+    "secret": "SELECT sector, avg(ret) AS er FROM last20 JOIN sectors USING (symbol) GROUP BY 1",
+    "ar": f"SELECT symbol, ts, close, ln(close) - ln(lag(close) {LAG}) AS r, row_number() {LAG} - 1 AS ix, count(*) OVER (PARTITION BY symbol) AS total, lead(close, 9) {LAG} / close - 1 AS fwd FROM bars",
+    "av": f"SELECT *, CASE WHEN count(r) {over(45)} >= 45 THEN list(r) {over(45)} END AS v FROM ar",
+    "an": """SELECT symbol, count(*) AS analogs, avg(fwd) AS analog_return FROM (SELECT o.symbol, o.fwd FROM av o JOIN av n ON n.symbol = o.symbol AND n.ix = n.total - 1 WHERE o.ix >= 45 AND o.ix < o.total - 46 AND o.ix < o.total - 10 AND o.fwd IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY o.symbol ORDER BY sqrt(list_sum([(o.v[i] - n.v[i]) * (o.v[i] - n.v[i]) for i in range(1, 46)])), o.ts) <= 5) GROUP BY 1""",
+    "st": """SELECT u.symbol, u.sector, h.*, CASE WHEN h.rows IS NULL THEN 'no_data' WHEN h.rows < 540 THEN 'insufficient_history' WHEN h.rows < 549 THEN 'minimum_history' WHEN s_acctbal < 0 THEN 'no_prediction' END AS code
+        FROM uni u LEFT JOIN hist h ON h.symbol = u.symbol LEFT JOIN supplier ON printf('S%05d', s_suppkey) = u.symbol""",
+    "sc": "SELECT *, greatest(least(0.65 * abs(p - 0.5) * 2 + 0.35 * 0.5, 0.95), 0.05) AS score, CASE WHEN hvol_20 >= 0.4 THEN 'high_vol' WHEN hvol_20 <= 0.18 THEN 'low_vol' ELSE 'mid_vol' END AS vs FROM tsu",
+}
+
+
+@query("universe_scan", "C1 C3 C5 C6 C11 J15",
+       f"""SELECT st.symbol, CASE WHEN code IS NULL THEN 'completed' ELSE 'failed' END AS status, CASE WHEN code IN ('no_data', 'insufficient_history') THEN 'history' WHEN code = 'minimum_history' THEN 'quality' WHEN code = 'no_prediction' THEN 'prediction' END AS stage, code, st.rows,
+         {ts('first_bar', 'first_bar')}, {ts('last_bar', 'last_bar')}, {rd('close', 'price')}, CASE WHEN p IS NULL THEN NULL WHEN s > 0 THEN 'LONG' WHEN s < 0 THEN 'SHORT' ELSE 'NO_TRADE' END AS bias,
+         CASE WHEN p IS NULL THEN NULL WHEN s > 0 THEN CASE WHEN bull THEN 'BREAKOUT_CONTINUATION' ELSE 'PULLBACK_LONG' END WHEN s < 0 THEN CASE WHEN bull THEN 'RALLY_FADE' ELSE 'BREAKDOWN_CONTINUATION' END ELSE 'WAIT_FOR_EDGE' END AS setup_type,
+         {rd('score', 'primary_score')}, {rd('close + s * 0.25 * atr - s * 1.6 * atr', 'stop_loss')}, {rd('close + s * 0.25 * atr + s * 2 * atr', 'target_1')}, CASE WHEN adx >= 20 THEN 'trend' WHEN p IS NOT NULL THEN 'chop' END AS trend_state, vs AS vol_state,
+         CASE WHEN p IS NOT NULL THEN CASE WHEN (SELECT avg(ret) FROM last20) < 0 THEN 'risk_off' ELSE 'risk_on' END END AS risk_proxy, CASE WHEN p IS NULL THEN NULL WHEN score < 0.58 OR vs = 'high_vol' THEN 'conservative' WHEN score >= 0.75 AND vs = 'low_vol' THEN 'aggressive' ELSE 'standard' END AS risk_mode,
+         vol_ratio_20 >= 1.8 AS volume_spike, abs(return_1d) >= 0.02 AS gap_flag, {rd('ret - (SELECT avg(ret) FROM last20)', 'rel_vs_bench')}, {rd('ret - er', 'rel_vs_sector')}, {rd("dhi", "distance_to_high")}, {rd("dlo", "distance_to_low")}, analogs, {rd('analog_return', 'analog_return')}
+       FROM st LEFT JOIN sc ON sc.symbol = st.symbol AND code IS NULL LEFT JOIN last20 l ON l.symbol = sc.symbol LEFT JOIN secret ON secret.sector = st.sector AND code IS NULL LEFT JOIN an ON an.symbol = sc.symbol""", SCAN)
+def universe_scan(spark, sf):
+    """All suppliers and, without bars, all nations; suppliers with a negative balance have no model."""
+    listed = src.sector_map(spark, sf).select("symbol", "sector")
+    universe = listed.unionByName(src.load(spark, sf, "nation").select(src.symbol_of(F.col("n_nationkey"), "N").alias("symbol"), F.lit(None).cast("string").alias("sector")))
+    modelled = src.load(spark, sf, "supplier").filter("s_acctbal >= 0").select(src.symbol_of(F.col("s_suppkey")).alias("symbol"))
+    bars = src.bars_daily(spark, sf)
+    b = blocked(bars.select("symbol", "timestamp", "close"), back=20)
+    b.stage({"ret": F.try_divide(F.col("close"), lag(b, "close", 20)) - 1.0})
+    moved = latest(b.owned(), ["symbol"], ["timestamp"], ["ret"]).join(listed, "symbol")
+    etf = moved.groupBy(F.concat(F.lit("E"), F.col("sector")).alias("etf")).agg(F.avg("ret").alias("ret"))
+    funds = listed.select("sector").distinct().withColumn("etf", F.concat(F.lit("E"), F.col("sector")))
+
+    def predict(newest):
+        up = F.greatest(F.least(0.5 + F.col("roc_20") * 5.0, F.lit(0.99)), F.lit(0.01))
+        return newest.join(modelled, "symbol", "left_semi").select("symbol", up.alias("probability_up"))
+
+    return present(SC.universe_scan(universe, bars, predict, moved.agg(F.avg("ret").alias("ret")), funds, etf, horizon=9, policy=SCAN_POLICY))
+
+
 @query("momentum_screen", "K11", f"SELECT symbol, {rd('a.close', 'close')}, {rd('past', 'past')}, {rd('(a.close - past) / past', 'momentum')} FROM (SELECT symbol, max(close) FILTER (rn = 1) AS close, max(close) FILTER (rn = 20) AS past FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars) GROUP BY 1) a WHERE (a.close - past) / past >= 0.05")
 def momentum_screen(spark, sf):
     return present(SC.momentum_screen(src.closes_daily(spark, sf)))
