@@ -11,12 +11,14 @@ token of a batch is then looked at once.
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
-
-from .dart_minhash import GOLD, MIX2, mix
+import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Fixed value: the public pattern that the classes below stand for.
+PUBLIC_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that one numpy step works on.
 STEP = 1_500_000
 
@@ -42,6 +44,22 @@ def class_table(pre_tokenizer) -> bytes:
     return bytes(table)
 
 
+def pattern_classes(pattern: str) -> bytes | None:
+    """The class table for the public pattern, as tiktoken's own regular expressions have the classes; None for other patterns."""
+    if pattern != PUBLIC_PATTERN:
+        return None
+    import tiktoken
+
+    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    table = bytearray(0x110000)
+    for cls, kind in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        # What the pattern does not match is left out, so the bytes that come back are those of the class.
+        one = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        for ch in bytes(one.encode_ordinary(chars)).decode():
+            table[ord(ch)] = cls
+    return bytes(table)
+
+
 def token_starts(cps: np.ndarray, text_starts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sorted places where tokens begin. `text_starts` are the places where (non-empty) texts begin."""
     n = len(cps)
@@ -80,20 +98,38 @@ class PreTokens:
         #: Tokens of text i are at first[i] to first[i + 1].
         self.first = np.searchsorted(starts, begin)
         if not len(starts):
-            self.words, self.which = [], np.empty(0, dtype=np.int64)
-            return
-        ends = np.concatenate([starts[1:], [len(cps)]])
-        place = np.arange(len(cps)) - np.repeat(starts, ends - starts)
-        code = cps.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(21))
-        h1 = np.add.reduceat(mix(code * GOLD + np.uint64(1)), starts)
-        _, at, self.which = np.unique(h1, return_index=True, return_inverse=True)
-        h2 = np.add.reduceat(mix(code * MIX2 + np.uint64(7)), starts)
-        if not np.array_equal(h2[at][self.which], h2):  # two tokens with one hash: number the tokens by their strings
-            seen: dict[str, int] = {}
-            self.which = np.array([seen.setdefault(joined[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            self.words = list(seen)
+            self.raw_words, self.which = [], np.empty(0, dtype=np.int64)
             return
-        self.words = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        raw = joined.encode("utf-8", "surrogatepass")
+        at = starts
+        if len(raw) > len(cps):  # bytes before each character
+            wide = (cps >= 0x80).astype(np.int32)
+            wide += cps >= 0x800
+            wide += cps >= 0x10000
+            at = starts + np.concatenate([[0], np.cumsum(wide)])[starts]
+        offsets = np.append(at, len(raw)).astype(np.int64)
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        self.which = tokens.indices.to_numpy()
+        #: The different tokens as UTF-8.
+        self.raw_words: list[bytes] = tokens.dictionary.to_pylist()
+
+    @cached_property
+    def words(self) -> list[str]:
+        return [w.decode("utf-8", "surrogatepass") for w in self.raw_words]
+
+
+class PatternTokens:
+    """As `PreTokens`, for any pattern: the regex module finds the matches text by text."""
+
+    def __init__(self, texts: list[str], pattern: str) -> None:
+        import regex
+
+        seen: dict[str, int] = {}
+        found = [[seen.setdefault(m.group(), len(seen)) for m in regex.finditer(pattern, t) if m.group()] for t in texts]
+        self.words = list(seen)
+        self.raw_words = [w.encode() for w in seen]
+        self.which = np.array([w for one in found for w in one], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(one) for one in found])]).astype(np.int64)
 
 
 def steps(texts: list[str]):

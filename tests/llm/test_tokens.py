@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import os
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -10,7 +12,9 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from marketloom.llm import bytelevel, range_coder, token_files
-from marketloom.llm.bpe import encode_and_decode
+from pyspark.sql import functions as F
+
+from marketloom.llm.bpe import BytePairs, encode_and_decode, heap_fold, load_ranks
 from marketloom.llm.token_counts import count_tokens, whole_tokens
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -102,15 +106,44 @@ def test_token_files(spark, odd_docs, no_docs, library, tmp_path):
     assert token_files.token_index(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_byte_bpe(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("bounds", [{}, {"table_words": 10, "shard_bytes": 2_000}, {"table_words": 0}])
+def test_byte_bpe(spark, odd_docs, no_docs, bounds):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [t for t in odd_strings(150, 3) if "\x1c" not in t] + ["a" * 300, "ab" * 200, "é" * 99]
-    df = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
-    for r in encode_and_decode(df, RANKS, P.PATTERN, sample_texts=50, common=500).collect():
+    texts = odd_strings(150, 3) + ["a" * 300, "ab" * 200, "é" * 99, "a" * 100_000, "Zm9vYmFy" * 2_000, " " * 50_000, "-" * 3_000 + "x"]
+    rows = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    df = rows.selectExpr("doc_id", "text", "'mine' AS shard", "1 AS word", "'old' AS IDS")
+    got = encode_and_decode(df, RANKS, P.PATTERN, **bounds)
+    assert got.columns == ["doc_id", "text", "shard", "word", "ids", "decoded"]
+    got = got.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(r.doc_id), str(r.text)) for r in rows.collect())
+    for r in got:
         assert r.ids == library.encode_ordinary(r.text or ""), repr(r.text)[:80]
-        assert bytes(r.decoded) == (r.text or "").encode()
-    assert encode_and_decode(no_docs, RANKS, P.PATTERN).count() == 0
+        assert bytes(r.decoded) == (r.text or "").encode() and r.shard == "mine"
+    assert encode_and_decode(no_docs, RANKS, P.PATTERN, **bounds).count() == 0
+
+
+def test_heap_and_fold_agree(spark):
+    coder = BytePairs(load_ranks(RANKS))
+    rnd = random.Random(8)
+    words = [bytes(rnd.choice(b" aeiouns\xc3\xa9t") for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    for r in df.select("word", coder.fold(F.col("word")).alias("ids"), coder.decode(coder.fold(F.col("word"))).alias("back")).collect():
+        assert r.ids == heap_fold(bytes(r.word), coder.singles, coder.pairs) and r.back == r.word
+
+
+def test_other_patterns(spark):
+    """A pattern that the numpy classes do not stand for, and pieces that merges do not lead to."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"xyz": 257}
+    coder = BytePairs(ranks)
+    assert coder.odd == {b"xyz": 257}
+    library = tiktoken.Encoding("own", pat_str=r"[a-z]+|[0-9]", mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame([(1, "abab 12 xyz xyzab"), (2, "é 9")], "doc_id int, text string")
+    path = os.path.join(tempfile.mkdtemp(), "ranks")
+    with open(path, "w") as f:
+        f.writelines(f"{base64.b64encode(k).decode()} {v}\n" for k, v in ranks.items())
+    got = {r.text: r.ids for r in encode_and_decode(df, path, r"[a-z]+|[0-9]").collect()}
+    assert got == {t: library.encode_ordinary(t) for t in got}
 
 
 def test_digest_of_ids():
