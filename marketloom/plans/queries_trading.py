@@ -258,7 +258,38 @@ def order_budgets(spark, sf):
     return present(d.select("order_id", "unit_risk", "trade_pct", "early"))
 
 
-@query("order_screen", "P5 P6 P7 P8 P9")
+CAP = "(({0}) + 1e-12) * greatest(equity, 1e-9)"
+SCREEN = {
+    **HO, "mm": "SELECT CAST(symbol[2:] AS INTEGER) % 40 AS k, date_trunc('quarter', ts) AS q, avg(close) AS c FROM bars GROUP BY 1, 2",
+    "co": "SELECT a.k AS ka, c.k AS kc, round(corr(a.c, c.c), 6) AS corr FROM mm a JOIN mm c ON a.q = c.q GROUP BY 1, 2",
+    "cb": "SELECT h.account, co.ka AS k, sum(abs(p.v)) AS corr_base FROM (SELECT DISTINCT account FROM ho) h JOIN co ON co.ka <> co.kc AND abs(co.corr) >= 0.4 JOIN ho p ON p.account = h.account AND p.k = co.kc GROUP BY 1, 2",
+    "ac": "SELECT account, sum(abs(v)) AS g, sum(v) AS n FROM ho GROUP BY 1",
+    "se": "SELECT account, sector, sum(abs(v)) AS s FROM ho GROUP BY 1, 2",
+    "o1": """SELECT order_id, ts, account, k, x.qty, x.price, sign, unit_risk, trade_pct, equity, coalesce(h.v, 0) AS own, coalesce(h.sector, 'unknown') AS t_sector, coalesce(g, 0) - abs(coalesce(h.v, 0)) AS gross_base, coalesce(n, 0) - coalesce(h.v, 0) AS net_base,
+        coalesce(s, 0) - CASE WHEN h.sector IS NULL THEN 0 ELSE abs(h.v) END AS sector_base, coalesce(corr_base, 0) AS corr_base, k IN (SELECT ka FROM co) AS correlated, list_filter([CASE WHEN hot THEN 'regime_throttle' END, CASE WHEN event THEN 'event_throttle' END], lambda x: x IS NOT NULL) AS notes,
+        CASE WHEN equity IS NULL OR equity <= 0 THEN 'invalid_equity' WHEN order_id % 13 = 0 AND order_id % 11 <> 0 THEN 'no_trade_window' WHEN x.qty <= 1e-12 THEN 'empty_order' END AS early
+      FROM (SELECT o_orderkey AS order_id, o_orderdate AS ts, CAST(o_custkey % 50 AS VARCHAR) AS account, o_orderkey % 40 AS k, floor(o_totalprice / 1000.0)::DOUBLE AS qty, (50.0 + o_orderkey % 40)::DOUBLE AS price, CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE 1.0 END::DOUBLE AS sign,
+              o_orderkey % 7 = 0 AS hot, o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 AS event,
+              (CASE WHEN o_orderkey % 4 = 0 THEN 1.0 + (o_orderkey % 40) / 10.0 WHEN o_orderkey % 4 = 1 THEN (50.0 + o_orderkey % 40) * 0.02 ELSE (50.0 + o_orderkey % 40) * 0.0025 END)::DOUBLE AS unit_risk,
+              (0.01::DOUBLE * CASE WHEN o_orderkey % 7 = 0 THEN 0.5 ELSE 1 END::DOUBLE * CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 0.5 ELSE 1 END::DOUBLE) AS trade_pct FROM orders) x
+      LEFT JOIN ho h USING (account, k) LEFT JOIN ac USING (account) LEFT JOIN he USING (account) LEFT JOIN se ON se.account = ac.account AND se.sector = coalesce(h.sector, 'unknown') LEFT JOIN cb ON cb.account = ac.account AND cb.k = x.k""",
+    "o2": f"""SELECT *, {CAP.format(1.5)} - gross_base AS cg, {CAP.format(0.35)} - sector_base AS cs, {CAP.format(0.45)} - corr_base AS cc, {CAP.format(1.0)} AS net, t_sector NOT IN ('', 'unknown') AS known FROM o1""",
+    "o3": "SELECT *, least(cg, CASE WHEN known THEN cs END, CASE WHEN correlated THEN cc END) AS size, own + sign * price AS one FROM o2",
+    "o4": """SELECT *, CASE WHEN (NOT correlated AND cc < 0) OR size < 0 THEN 0 ELSE floor(least((size - sign * own) / price, (net - sign * (own + net_base)) / price) + 1e-9) END AS room_to,
+        ceil(greatest((-size - sign * own) / price, (-net - sign * (own + net_base)) / price) - 1e-9) AS room_from,
+        list_filter([CASE WHEN abs(one) > cg THEN 'gross_exposure_cap' END, CASE WHEN abs(net_base + one) > net THEN 'net_exposure_cap' END, CASE WHEN known AND abs(one) > cs THEN 'sector_exposure_cap' END, CASE WHEN CASE WHEN correlated THEN abs(one) ELSE 0 END > cc THEN 'correlated_exposure_cap' END], lambda x: x IS NOT NULL) AS broken,
+        row_number() OVER (PARTITION BY account, ts ORDER BY order_id) AS rn FROM o3""",
+    "r0": "SELECT account, ts, 0::BIGINT AS rn, 0.0::DOUBLE AS used FROM o4 GROUP BY 1, 2",
+    "rec(account, ts, rn, order_id, lots, risk, used, reasons, sign)": """SELECT account, ts, rn, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, used, NULL::VARCHAR[], 1.0::DOUBLE FROM r0
+      UNION ALL SELECT account, ts, rn, order_id, lots, lots * unit_risk / greatest(equity, 1e-9), used + coalesce(lots * unit_risk / greatest(equity, 1e-9), 0),
+        CASE WHEN early IS NOT NULL THEN [early] WHEN budget <= 1e-12 THEN ['daily_risk_cap_exceeded'] WHEN wanted <= 0 THEN ['sized_to_zero'] WHEN NOT fits THEN broken WHEN fitting < wanted THEN list_append(notes, 'size_reduced_for_constraints') ELSE notes END, sign
+      FROM (SELECT *, CASE WHEN early IS NOT NULL OR budget <= 1e-12 OR wanted <= 0 OR NOT fits THEN 0.0 ELSE fitting END::DOUBLE AS lots FROM (SELECT *, fitting >= greatest(1.0, room_from) AS fits FROM (SELECT *, trunc(least(wanted, room_to)) AS fitting FROM (
+        SELECT *, floor(least(abs(qty), equity * budget / greatest(unit_risk, 1e-9), equity * 0.2 / price)) AS wanted FROM (SELECT o.*, r.used, least(o.trade_pct, greatest(0.03 - r.used, 0)) AS budget FROM rec r JOIN o4 o ON o.account = r.account AND o.ts = r.ts AND o.rn = r.rn + 1)))))""",
+}
+
+
+@query("order_screen", "P5 P6 P7 P8 P9",
+       f"SELECT order_id, account, lots > 0 AS approved, {rd('CASE WHEN lots > 0 THEN sign * lots ELSE 0 END', 'approved_qty')}, {rd('coalesce(risk, 0)', 'trade_risk_pct')}, {rd('used', 'daily_used_pct')}, array_to_string(reasons, ',') AS reasons FROM rec WHERE order_id IS NOT NULL", SCREEN)
 def order_screen(spark, sf):
     d = RK.screen_orders(order_book(spark, sf), holdings(spark, sf), account_equity(spark, sf), correlations(spark, sf), RK.RiskConfig(correlation_threshold=0.4))
     return present(d.withColumn("reasons", F.array_join("reasons", ",")))

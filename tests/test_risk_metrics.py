@@ -164,3 +164,23 @@ def test_registry_supersedes(spark):
     st = M.registry_state(ev)
     assert {r["version"]: r["status"] for r in st.collect()} == {"v0001": "superseded", "v0002": "active"}
     assert M.best_model(st).first()["version"] == "v0002" and M.next_version(st).first()["next_version"] == "v0003"
+
+
+def test_daily_budget_rounds_equal_a_loop(spark):
+    """Many orders that compete for one day's budget, in several parts of the table, against a plain loop."""
+    import math
+
+    rng = np.random.default_rng(4)
+    rows = [one(i, sym=f"S{i}", qty=float(rng.integers(1, 900)), px=float(rng.integers(5, 60)), atr=float(rng.choice([0.5, 2.0, 7.0, 31.0, 700.0])), sector=None, t=f"2024-01-0{1 + i % 2} 10:{i % 60:02d}:00") for i in range(1, 160)]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = screen(spark, rows, None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    used = {}
+    for r in sorted(rows, key=lambda r: (r[9], r[0])):
+        i, qty, px, day, atr = r[0], r[4], r[5], r[9][:10], r[10]
+        left = max(0.0, 0.03 - used.get(day, 0.0))
+        lots = math.floor(min(qty, 100_000 * min(0.01, left) / atr, 100_000 * 0.20 / px)) if left > 1e-12 else 0
+        used[day] = used.get(day, 0.0) + lots * atr / 100_000
+        assert got[i]["approved_qty"] == lots and got[i]["daily_used_pct"] == pytest.approx(used[day], abs=1e-12), i
