@@ -119,7 +119,7 @@ def first_exit(entries: DataFrame, bars: DataFrame, ex: Execution = Execution(),
     stop_hit = F.when(up, F.col("lo") <= F.col("stop_price")).otherwise(F.col("hi") >= F.col("stop_price"))
     take_hit = F.when(up, F.col("hi") >= F.col("take_price")).otherwise(F.col("lo") <= F.col("take_price"))
     hit = F.coalesce(stop_hit, F.lit(False)) | F.coalesce(take_hit, F.lit(False))
-    e = entries.join(ix.select("symbol", "timestamp", "ix"), ["symbol", "timestamp"]).withColumnRenamed("ix", "e_ix").withColumn("eid", F.xxhash64("symbol", "e_ix", "is_long", "stop_price", "take_price"))
+    e = entries.join(ix.select("symbol", "timestamp", "ix"), ["symbol", "timestamp"]).withColumnRenamed("ix", "e_ix").withColumn("eid", F.struct("symbol", "e_ix", "is_long", "stop_price", "take_price"))  # compared whole; missing prices are equal
     found = []
     cur = e
     key = ["symbol", "e_ix", "is_long", "stop_price", "take_price", "eid"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import div, tags_array
@@ -144,19 +144,57 @@ def top_insights(mem: DataFrame, n: int = 5) -> DataFrame:
     return mem.orderBy(F.desc("importance"), "id").limit(n).select("id", "content", "importance")
 
 
-def similar_memory(new: DataFrame, stored: DataFrame, threshold: float = 0.8, pool: int = 100) -> DataFrame:
-    """Id of a similar stored memory of the same category, if any.
+def token_set(text: str) -> Column:
+    """The different lower-case words of a text, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.trim(F.col(text))), r"\s+"), lambda t: F.length(t) > 0)))
 
-    Only the `pool` most important rows of a category are compared.
+
+def set_join(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(l, r): all pairs of one category whose sets overlap in at least `threshold` of the larger one.
+
+    `left` and `right` have (category, sid, toks) with different sets only. Tokens
+    are ordered by how few sets hold them. A set of n tokens can lack at most
+    n - ceil(threshold * n) of them, so a pair shares one of the first
+    n - ceil(threshold * n) + 1 of each: only these rarest tokens are joined on.
+    Sizes and the places of the shared token bound the overlap before whole sets
+    are compared.
+    """
+    every = left.unionByName(right).select("category", "sid", "toks").distinct()
+    df = every.select("category", F.explode("toks").alias("tok")).groupBy("category", "tok").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefixes(sets: DataFrame, side: str) -> DataFrame:
+        each = sets.select("category", "sid", F.size("toks").alias("size"), F.explode("toks").alias("tok")).join(df, ["category", "tok"])
+        need = F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int")
+        ranked = each.groupBy("category", "sid", "size").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered"))
+        first = ranked.select("category", "sid", "size", F.posexplode(F.slice("ordered", F.lit(1), F.col("size") - need + 1)).alias("at", "e"))
+        return first.select("category", F.col("e.tok").alias("tok"), F.col("sid").alias(side), F.col("size").alias(f"{side}_size"), F.col("at").alias(f"{side}_at"))
+
+    least = F.lit(threshold) * F.greatest("l_size", "r_size") - 1e-9
+    rest = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
+    pairs = prefixes(left, "l").join(prefixes(right, "r"), ["category", "tok"]).filter((F.least("l_size", "r_size") >= least) & (F.least("l_at", "r_at") + rest >= least)).select("l", "r").distinct()
+    a, b = left.select(F.col("sid").alias("l"), F.col("toks").alias("_a")), right.select(F.col("sid").alias("r"), F.col("toks").alias("_b"))
+    both = pairs.join(a, "l").join(b, "r")
+    return both.filter(F.size(F.array_intersect("_a", "_b")) >= F.lit(threshold) * F.greatest(F.size("_a"), F.size("_b")) - 1e-9).select("l", "r")
+
+
+def similar_memory(new: DataFrame, stored: DataFrame, threshold: float = 0.8, pool: int | None = None) -> DataFrame:
+    """The most important stored memory of the same category that is similar to each new one (smallest id of equal ones), if any.
+
+    All stored rows are searched; with `pool`, only so many most important ones
+    of each category. Equal texts are one set, so copies are compared once.
     """
-    toks = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.trim(F.col(c))), r"\s+"), lambda t: F.length(t) > 0))
-    best = top_per_key(stored.select("category", "id", "importance", toks("content").alias("_m")), ["category"], [F.desc("importance"), F.col("id")], pool)
-    n = new.select("category", F.col("id").alias("new_id"), toks("content").alias("_n"))
-    inter = F.size(F.array_intersect("_m", "_n"))
-    big = F.greatest(F.size("_m"), F.size("_n"))
-    j = n.join(best, "category").filter((F.size("_m") > 0) & (F.size("_n") > 0) & (inter / big >= threshold))
-    hit = j.groupBy("new_id").agg(F.min_by("id", "_rank").alias("existing_id"))
-    return n.select("new_id", "category").join(hit, "new_id", "left")
+    rows = stored.select("category", "id", "importance", token_set("content").alias("toks"))
+    if pool is not None:
+        rows = top_per_key(rows, ["category"], [F.desc("importance"), F.col("id")], pool).drop("_rank")
+    sid = F.sha2(F.concat_ws("\u0001", F.col("category").cast("string"), F.array_join("toks", "\u0002")), 256).alias("sid")
+    better = F.struct(F.col("importance").isNull().alias("none"), (-F.col("importance")).alias("low"), F.col("id").alias("id"))
+    kept = rows.filter(F.col("category").isNotNull() & (F.size("toks") > 0)).select("category", sid, "toks", better.alias("best"))
+    kept = kept.groupBy("category", "sid").agg(F.any_value("toks").alias("toks"), F.min("best").alias("best"))
+    asked = new.select("category", F.col("id").alias("new_id"), token_set("content").alias("toks")).withColumn("sid", sid)
+    sets = asked.filter(F.col("category").isNotNull() & (F.size("toks") > 0)).groupBy("category", "sid").agg(F.any_value("toks").alias("toks"))
+    found = set_join(sets, kept.select("category", "sid", "toks"), threshold)
+    hit = found.join(kept.select(F.col("sid").alias("r"), "best"), "r").groupBy(F.col("l").alias("sid")).agg(F.min("best").alias("best"))
+    return asked.select("new_id", "category", "sid").join(hit, "sid", "left").select("new_id", "category", F.col("best.id").alias("existing_id"))
 
 
 def scan_page(results: DataFrame, status: str | None = None, page: int = 1, size: int = 50) -> DataFrame:
@@ -178,10 +216,10 @@ def scan_runs(runs: DataFrame, status: str | None = None, n: int = 50) -> DataFr
 
 
 def last_analysis(requested: DataFrame, reports: DataFrame, runs: DataFrame) -> DataFrame:
-    """Newest report per requested symbol, else the newest run naming it."""
-    r = reports.groupBy("symbol").agg(F.max("created_at").alias("_rep"), F.max_by("report_id", "created_at").alias("report_id"))
+    """Newest report per requested symbol, else the newest run naming it; of equal stamps the largest id."""
+    r = reports.groupBy("symbol").agg(F.max("created_at").alias("_rep"), F.max_by("report_id", F.struct("created_at", "report_id")).alias("report_id"))
     named = runs.select(F.explode("tickers").alias("symbol"), "run_id", "completed_at")
-    u = named.groupBy("symbol").agg(F.max("completed_at").alias("_run"), F.max_by("run_id", "completed_at").alias("run_id"))
+    u = named.groupBy("symbol").agg(F.max("completed_at").alias("_run"), F.max_by("run_id", F.struct("completed_at", "run_id")).alias("run_id"))
     d = requested.join(r, "symbol", "left").join(u, "symbol", "left")
     return d.select("symbol", "report_id", F.when(F.col("report_id").isNull(), F.col("run_id")).alias("run_id"), F.coalesce("_rep", "_run").alias("analysis_date"))
 

@@ -78,9 +78,9 @@ def memory_category_counts(spark, sf):
 
 @query("signals_on_bars", "J9 B1 Y2",
        f"""SELECT b.symbol, {ts('b.ts')}, {rd('s.p', 'prediction')}, {rd('CASE WHEN s.p >= 0.6 THEN greatest(least(abs(2 * s.p - 1), 1.0), 0.1) WHEN s.p <= 0.4 THEN -greatest(least(abs(2 * s.p - 1), 1.0), 0.1) END', 'target_exposure')},
-         CASE WHEN s.p >= 0.6 THEN 'buy' WHEN s.p <= 0.4 THEN 'sell' ELSE 'hold' END AS action FROM bars b ASOF LEFT JOIN (SELECT * FROM pp WHERE dayofmonth(ts) % 3 = 0) s ON b.symbol = s.symbol AND b.ts >= s.ts""", {k: RETS[k] for k in ("rr", "pp")})
+         CASE WHEN s.p >= 0.6 THEN 'buy' WHEN s.p <= 0.4 THEN 'sell' ELSE 'hold' END AS action FROM bars b ASOF LEFT JOIN pp s ON b.symbol = s.symbol AND b.ts >= s.ts""", {k: RETS[k] for k in ("rr", "pp")})
 def signals_on_bars(spark, sf):
-    s = signal_returns(spark, sf).filter(F.dayofmonth("timestamp") % 3 == 0).select("symbol", "timestamp", F.col("probability").alias("prediction"), F.abs(2.0 * F.col("probability") - 1.0).alias("confidence"), F.lit(None).cast("string").alias("regime"))
+    s = signal_returns(spark, sf).select("symbol", "timestamp", F.col("probability").alias("prediction"), F.abs(2.0 * F.col("probability") - 1.0).alias("confidence"), F.lit(None).cast("string").alias("regime"))
     return present(BT.decide(BT.merge_signals(src.closes_daily(spark, sf), s)).select("symbol", "timestamp", "prediction", "target_exposure", "action"))
 
 
@@ -96,8 +96,8 @@ EX = BT.Execution(commission_bps=1.0, commission_per_share=0.01, commission_min=
 
 
 def proposals(spark, sf):
-    """One market or limit order per bar of every fifth day."""
-    b = src.bars_daily(spark, sf).filter(F.dayofmonth("timestamp") % 5 == 0)
+    """One market or limit order per bar."""
+    b = src.bars_daily(spark, sf)
     n = F.substring("symbol", 2, 5).cast("int") + F.dayofyear("timestamp")
     side = F.when(n % 2 == 0, 1.0).otherwise(-1.0)
     return b.select("symbol", "timestamp", (side * (10.0 + n % 40)).alias("requested_qty"), F.when(n % 3 == 0, "limit").otherwise("market").alias("order_type"), F.when(n % 3 == 0, F.col("close") * (1.0 + side * 0.001)).alias("limit_price"))
@@ -111,7 +111,7 @@ def proposals(spark, sf):
                SELECT symbol, ts, xo, xh, xl, xv, side, side * (10.0 + n % 40) AS q, CASE WHEN n % 3 = 0 THEN close * (1 + side * 0.001) END AS lim FROM (
                  SELECT *, CASE WHEN n % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS side FROM (
                    SELECT *, CAST(symbol[2:] AS INTEGER) + dayofyear(ts) AS n, lead(open) {LAG} AS xo, lead(high) {LAG} AS xh, lead(low) {LAG} AS xl, lead(volume) {LAG} AS xv FROM bars)
-                 WHERE day(ts) % 5 = 0 AND xo IS NOT NULL)))))""")
+                 WHERE xo IS NOT NULL)))))""")
 def order_fills(spark, sf):
     o = BT.with_execution_bar(proposals(spark, sf), src.bars_daily(spark, sf))
     d = BT.fill_orders(o, EX)
@@ -120,7 +120,7 @@ def order_fills(spark, sf):
 
 
 def entries(spark, sf):
-    b = src.bars_daily(spark, sf).filter(F.dayofmonth("timestamp") == 15)
+    b = src.bars_daily(spark, sf)
     up = F.month("timestamp") % 2 == 0
     s = F.when(up, 1.0).otherwise(-1.0)
     return b.select("symbol", "timestamp", up.alias("is_long"), (F.col("close") * (1.0 - s * 0.06)).alias("stop_price"), (F.col("close") * (1.0 + s * 0.09)).alias("take_price"))
@@ -128,7 +128,7 @@ def entries(spark, sf):
 
 EXITS = {
     "eb": f"SELECT *, row_number() {LAG} AS ix FROM bars",
-    "en": "SELECT symbol, ts, ix, month(ts) % 2 = 0 AS is_long, close * (1 - CASE WHEN month(ts) % 2 = 0 THEN 0.06 ELSE -0.06 END) AS stop, close * (1 + CASE WHEN month(ts) % 2 = 0 THEN 0.09 ELSE -0.09 END) AS take FROM eb WHERE day(ts) = 15",
+    "en": "SELECT symbol, ts, ix, month(ts) % 2 = 0 AS is_long, close * (1 - CASE WHEN month(ts) % 2 = 0 THEN 0.06 ELSE -0.06 END) AS stop, close * (1 + CASE WHEN month(ts) % 2 = 0 THEN 0.09 ELSE -0.09 END) AS take FROM eb",
     "hits": """SELECT e.symbol, e.ts, min(b.ix) AS hit FROM en e JOIN eb b ON b.symbol = e.symbol AND b.ix > e.ix AND CASE WHEN e.is_long THEN b.low <= e.stop OR b.high >= e.take ELSE b.high >= e.stop OR b.low <= e.take END GROUP BY 1, 2""",
 }
 
@@ -632,13 +632,15 @@ def scan_run_listing(spark, sf):
 
 
 @query("last_analysis_per_symbol", "J14 K18",
-       """SELECT symbol, report_id, CASE WHEN report_id IS NULL THEN run_id END AS run_id FROM (SELECT DISTINCT s_suppkey % 100 AS symbol FROM supplier) q LEFT JOIN (SELECT l_suppkey % 100 AS symbol, arg_max(l_orderkey, l_shipdate * 1 + to_microseconds(0) ) AS report_id FROM (SELECT l_suppkey, l_orderkey, l_shipdate FROM lineitem WHERE false) GROUP BY 1) r USING (symbol)
-          LEFT JOIN (SELECT user_id % 100 AS symbol, arg_max(event_id, ts) AS run_id FROM events GROUP BY 1) u USING (symbol)""".replace("l_shipdate * 1 + to_microseconds(0) ", "l_shipdate"))
+       """SELECT symbol, report_id, CASE WHEN report_id IS NULL THEN run_id END AS run_id, strftime(coalesce(rep, run), '%Y-%m-%d %H:%M:%S') AS analysis_date FROM (SELECT DISTINCT c_custkey % 150 AS symbol FROM customer)
+          LEFT JOIN (SELECT l_suppkey % 100 AS symbol, l_orderkey AS report_id, CAST(l_shipdate AS TIMESTAMP) AS rep FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey % 100 ORDER BY l_shipdate DESC, l_orderkey DESC) = 1) USING (symbol)
+          LEFT JOIN (SELECT user_id % 150 AS symbol, event_id AS run_id, ts AS run FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 150 ORDER BY ts DESC, event_id DESC) = 1) USING (symbol)""")
 def last_analysis_per_symbol(spark, sf):
-    q = src.load(spark, sf, "supplier").select((F.col("s_suppkey") % 100).alias("symbol")).distinct()
-    rep = src.load(spark, sf, "lineitem").filter("l_orderkey < 0").select((F.col("l_suppkey") % 100).alias("symbol"), F.col("l_orderkey").alias("report_id"), F.col("l_shipdate").alias("created_at"))
-    runs = src.load(spark, sf, "events").select(F.array(F.col("user_id") % 100).alias("tickers"), F.col("event_id").alias("run_id"), F.col("ts").alias("completed_at"))
-    return present(J.last_analysis(q, rep, runs).drop("analysis_date"))
+    """Reports on the first hundred symbols, runs on all."""
+    q = src.load(spark, sf, "customer").select((F.col("c_custkey") % 150).alias("symbol")).distinct()
+    rep = src.load(spark, sf, "lineitem").select((F.col("l_suppkey") % 100).alias("symbol"), F.col("l_orderkey").alias("report_id"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
+    runs = src.load(spark, sf, "events").select(F.array(F.col("user_id") % 150).alias("tickers"), F.col("event_id").alias("run_id"), F.col("ts").alias("completed_at"))
+    return present(J.last_analysis(q, rep, runs))
 
 
 @query("memory_recall", "K16", "SELECT doc_id AS id FROM documents WHERE contains(upper(replace(text, 'ß', 'SS')), 'LICENSE') ORDER BY (doc_id % 10) / 10.0 DESC, doc_id LIMIT 50")
@@ -648,9 +650,9 @@ def memory_recall(spark, sf):
 
 
 @query("similar_memories", "T14 X11",
-       """SELECT n.doc_id AS new_id, (SELECT m.doc_id FROM pool m WHERE m.lang = n.lang AND len(m.tok) > 0 AND len(n.tok) > 0 AND len(list_intersect(m.tok, n.tok)) / greatest(len(m.tok), len(n.tok))::DOUBLE >= 0.8 ORDER BY rn LIMIT 1) AS existing_id FROM toks n""",
-       {"toks": r"SELECT doc_id, lang, list_distinct([x for x in regexp_split_to_array(lower(trim(text, ' ')), '\s+') if length(x) > 0]) AS tok FROM documents",
-        "pool": "SELECT *, row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 7) % 13 DESC, doc_id) AS rn FROM toks QUALIFY rn <= 100"})
+       """SELECT n.doc_id AS new_id, arg_min(m.doc_id, m.rn) AS existing_id FROM toks n LEFT JOIN toks m ON m.lang = n.lang AND len(m.tok) > 0 AND len(n.tok) > 0 AND least(len(m.tok), len(n.tok)) >= 0.8::DOUBLE * greatest(len(m.tok), len(n.tok)) - 1e-9
+          AND len(list_intersect(m.tok, n.tok)) / greatest(len(m.tok), len(n.tok))::DOUBLE >= 0.8::DOUBLE - 1e-9 GROUP BY 1""",
+       {"toks": r"SELECT doc_id, lang, list_distinct([x for x in regexp_split_to_array(lower(trim(text, ' ')), '\s+') if length(x) > 0]) AS tok, row_number() OVER (ORDER BY (doc_id * 7) % 13 DESC, doc_id) AS rn FROM documents"})
 def similar_memories(spark, sf):
     d = src.load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("text").alias("content"), ((F.col("doc_id") * 7) % 13).alias("importance"))
     return present(J.similar_memory(d, d).select("new_id", "existing_id"))

@@ -248,5 +248,8 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     for text in extra.values():
         visit(text)
     visit(body)
-    parts = [f"{n} AS ({CTE[n]})" for n in order] + [f"{n} AS ({t})" for n, t in extra.items()]
+    texts = {n: CTE[n] for n in order} | extra
+    # A view that several others read is computed once, unless it reads itself.
+    once = lambda n, t: not re.search(rf"\b{n}\b", t) and sum(len(re.findall(rf"\b{n}\b", x)) for x in (body, *texts.values())) > 1
+    parts = [f"{n} AS {'MATERIALIZED ' if once(n.split('(')[0], t) else ''}({t})" for n, t in texts.items()]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body

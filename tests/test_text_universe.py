@@ -166,3 +166,24 @@ def test_exact_repeats_are_one(spark):
     rows = [("2024-01-02 10:00:00", "Profit beats and record growth at Acme today", "reuters", "ACME")] * 3 + [("2024-01-02 11:00:00", "Profit beats and record growth at Acme today", "reuters", "ACME"), ("2024-01-02 11:00:00", "A quite different story", "reuters", None)]
     news = spark.createDataFrame(rows, "t string, headline string, source string, ticker string").selectExpr("to_timestamp(t) timestamp", "headline", "source", "ticker")
     assert S.process_texts(news).count() == 2
+
+
+def test_similar_memories_against_all_pairs(spark):
+    """Every stored row is searched: copies, short texts, ties of importance, other categories."""
+    from marketloom.operators import journal as J
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, size=int(rng.integers(1, 9)), replace=False)) for _ in range(150)]
+    texts += [t + " more" for t in texts[:20]] + [texts[3]] * 30 + ["", " ", None]
+    rows = [(i, "ab"[i % 2] if i % 11 else None, t, float(rng.integers(0, 4))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, category string, content string, importance double").repartition(3)
+    sets = {i: set((t or "").lower().split()) for i, _, t, _ in rows}
+
+    def best(i, c, pool):
+        own = sorted((r for r in rows if r[1] == c), key=lambda r: (-r[3], r[0]))[:pool]
+        return next((j for j, _, _, _ in own if c and sets[i] and sets[j] and len(sets[i] & sets[j]) / max(len(sets[i]), len(sets[j])) >= 0.8), None)
+
+    for pool in (None, 20):
+        got = {r.new_id: r.existing_id for r in J.similar_memory(df, df, pool=pool).collect()}
+        assert got == {i: best(i, c, pool) for i, c, _, _ in rows}
