@@ -650,9 +650,13 @@ def memory_recall(spark, sf):
 
 
 @query("similar_memories", "T14 X11",
-       """SELECT n.doc_id AS new_id, arg_min(m.doc_id, m.rn) AS existing_id FROM toks n LEFT JOIN toks m ON m.lang = n.lang AND len(m.tok) > 0 AND len(n.tok) > 0 AND least(len(m.tok), len(n.tok)) >= 0.8::DOUBLE * greatest(len(m.tok), len(n.tok)) - 1e-9
-          AND len(list_intersect(m.tok, n.tok)) / greatest(len(m.tok), len(n.tok))::DOUBLE >= 0.8::DOUBLE - 1e-9 GROUP BY 1""",
-       {"toks": r"SELECT doc_id, lang, list_distinct([x for x in regexp_split_to_array(lower(trim(text, ' ')), '\s+') if length(x) > 0]) AS tok, row_number() OVER (ORDER BY (doc_id * 7) % 13 DESC, doc_id) AS rn FROM documents"})
+       """SELECT n.doc_id AS new_id, existing_id FROM toks n LEFT JOIN (SELECT a AS doc_id, arg_min(m.doc_id, m.rn) AS existing_id FROM cand JOIN toks x ON x.doc_id = a JOIN toks m ON m.doc_id = b
+          WHERE len(list_intersect(m.tok, x.tok)) / greatest(len(m.tok), len(x.tok))::DOUBLE >= 0.8::DOUBLE - 1e-9 GROUP BY 1) USING (doc_id)""",
+       {"toks": r"SELECT doc_id, lang, list_distinct([x for x in regexp_split_to_array(lower(trim(text, ' ')), '\s+') if length(x) > 0]) AS tok, row_number() OVER (ORDER BY (doc_id * 7) % 13 DESC, doc_id) AS rn FROM documents",
+        "each": "SELECT doc_id, lang, len(tok) AS n, unnest(tok) AS t FROM toks",
+        "freq": "SELECT lang, t, count(*) AS df FROM each GROUP BY 1, 2",
+        "pre": "SELECT doc_id, lang, n, t FROM each JOIN freq USING (lang, t) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, t) <= n - ceil(0.8::DOUBLE * n - 1e-9) + 1",
+        "cand": "SELECT DISTINCT p.doc_id AS a, q.doc_id AS b FROM pre p JOIN pre q ON p.lang = q.lang AND p.t = q.t WHERE least(p.n, q.n) >= 0.8::DOUBLE * greatest(p.n, q.n) - 1e-9"})
 def similar_memories(spark, sf):
     d = src.load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("text").alias("content"), ((F.col("doc_id") * 7) % 13).alias("importance"))
     return present(J.similar_memory(d, d).select("new_id", "existing_id"))
