@@ -71,10 +71,12 @@ def recent_in_order(df: DataFrame, time: str, n: int, ties: tuple[str, ...] = ()
     return recent(df, time, n, ties=tuple(f"{t}" for t in ties)).orderBy(time, *ties)
 
 
-def memories(df: DataFrame, category: str | None = None, least: float = 0.0, n: int = 50) -> DataFrame:
+def memories(df: DataFrame, category: str | None = None, least: float = 0.0, n: int | None = None) -> DataFrame:
+    """Most important first; all of them without `n`."""
     d = df.filter(F.col("importance") >= least)
     d = d.filter(F.col("category") == category) if category else d
-    return d.orderBy(F.desc("importance"), F.col("last_accessed").desc_nulls_last()).limit(n)
+    out = d.orderBy(F.desc("importance"), F.col("last_accessed").desc_nulls_last())
+    return out if n is None else out.limit(n)
 
 
 def recall_symbol(df: DataFrame, symbol: str, n: int = 50) -> DataFrame:
@@ -102,7 +104,7 @@ def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
 def signal_id_of(tags) -> F:
     """The id behind a `signal_id:` tag."""
     hit = F.filter(tags_array(tags), lambda t: t.startswith("signal_id:"))
-    return F.when(F.size(hit) > 0, F.substring(F.element_at(hit, 1), 11, 200))
+    return F.when(F.size(hit) > 0, F.substr(F.element_at(hit, 1), F.lit(11)))
 
 
 def outcome_events(trades: DataFrame) -> DataFrame:

@@ -52,6 +52,13 @@ def walk_forward_predictions(spark, sf):
     return present(d.groupBy("fold").agg(F.count("*").alias("rows"), F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"), F.avg("probability").alias("mean_probability")))
 
 
+@query("grid_search_folds", "L5")
+def grid_search_folds(spark, sf):
+    """Scores of every penalty on three time folds; tests compare them with single fits."""
+    d = M.walk_forward_folds(panel(spark, sf), 3)
+    return present(M.logistic_grid(d, FEATS, "y", [s["regParam"] for s in M.GRIDS["logistic"]], 3))
+
+
 @query("calibrated_panel_model", "L4 L8 L9 L10 L13 L15")
 def calibrated_panel_model(spark, sf):
     d = panel(spark, sf)

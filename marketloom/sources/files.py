@@ -126,22 +126,25 @@ def scan_run_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("doc"))
 
 
-def list_runs(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
+def list_runs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Newest first; all of them without a limit."""
     from ..operators.models import run_table
 
-    return run_table(scan_run_documents(spark, path)).orderBy(F.col("created_at").desc_nulls_last()).limit(limit)
+    out = run_table(scan_run_documents(spark, path)).orderBy(F.col("created_at").desc_nulls_last())
+    return out if limit is None else out.limit(limit)
 
 
 ANALYSIS_SCHEMA = "id string, ticker string, created_at timestamp, model_type string, status string, signals struct<confidence:double,bias:string>, report struct<model_signals:struct<confidence:double>,summary:string>"
 
 
-def list_analyses(spark: SparkSession, path: str, ticker: str | None = None, limit: int = 50) -> DataFrame:
+def list_analyses(spark: SparkSession, path: str, ticker: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest analysis summaries; confidence from signals, else the report."""
     df = spark.read.schema(ANALYSIS_SCHEMA).option("multiLine", True).json(path)
     if ticker:
         df = df.filter(F.upper("ticker") == ticker.upper())
     conf = F.coalesce("signals.confidence", "report.model_signals.confidence")
-    return df.select("id", F.upper("ticker").alias("ticker"), "created_at", "status", "model_type", conf.alias("confidence"), "signals.bias", "report.summary").orderBy(F.col("created_at").desc_nulls_last()).limit(limit)
+    out = df.select("id", F.upper("ticker").alias("ticker"), "created_at", "status", "model_type", conf.alias("confidence"), "signals.bias", "report.summary").orderBy(F.col("created_at").desc_nulls_last())
+    return out if limit is None else out.limit(limit)
 
 
 def write_analyses(rows: DataFrame, path: str) -> None:
