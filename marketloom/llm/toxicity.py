@@ -108,7 +108,7 @@ def _extract(wanted: list[str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "found": [sorted(number[f] for f in text_features(t) if f in number) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "place": pd.util.hash_array(b["text"].to_numpy(dtype=object), categorize=False).astype(np.int64), "found": [sorted(number[f] for f in text_features(t) if f in number) for t in b["text"]]})
 
     return run
 
@@ -144,8 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spread = F.sqrt((p + 1 / count[1]) / count[1] + (u + 1 / count[0]) / count[0])
     top = df.withColumn("z", (p - u) / spread).filter(F.col("z") > 3).orderBy(F.desc("z"), "feature").limit(features)
     names = [r["feature"] for r in top.select("feature").collect()]
-    sparse = texts.mapInPandas(_extract(names), "y int, found array<int>").toPandas()  # numbers of known features only, for the bounded sample
-    rows_of = lambda y: [np.asarray(x, dtype=np.int64) for x in sorted(map(tuple, sparse.loc[sparse["y"] == y, "found"]))]  # noqa: E731  sorted: the same fit whatever the order of the tasks
+    sparse = texts.mapInPandas(_extract(names), "y int, place bigint, found array<int>").toArrow().combine_chunks()  # numbers of known features only, for the bounded sample
+    y, place, found = sparse["y"].to_numpy(), sparse["place"].to_numpy(), sparse["found"].combine_chunks()
+    flat, at = found.values.to_numpy(), found.offsets.to_numpy()
+    order = np.argsort(place, kind="stable")  # by the text's hash: the same fit whatever the order of the tasks
+    rows_of = lambda label: [flat[at[i]:at[i + 1]] for i in order if y[i] == label]
     weights, bias = fit_nnpu(rows_of(1), rows_of(0), len(names), prior)
     return Model(names, weights, bias, prior)
 
