@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 from .bytelevel import PatternTokens, PreTokens, pattern_classes, steps
 from .common import col, fresh, let, release, stored
 
-NEVER = 2_147_483_647
 #: Spreads the pairs over the places of the rank map.
 SPREAD = 7_919
 #: Distinct words whose ids are sent to every task, and the UTF-8 bytes of text in a shard where they are more.
 TABLE_WORDS, SHARD_BYTES = 4_000_000, 64 << 20
 #: Characters of text in a batch that is returned.
-OUT_CHARS = 4_000_000
+OUT_CHARS = 3_000_000
 #: Words of more bytes are folded with a heap: the fold copies its state at each merge, so its work grows with the square of a word.
 LONG_WORD = 256
 
@@ -105,15 +104,18 @@ class BytePairs:
 
     def fold(self, word: Column) -> Column:
         """The ids of one word's bytes (a binary column), by ranked merges over the literal rank map."""
-        size = 1
-        while size < 2 * sum(len(p) for p in self.pairs):
+        size, wide = 1, 65_536
+        while 2 * size < sum(len(p) for p in self.pairs):
             size *= 2
-        # A bucket is [NEVER, pair, rank, pair, rank, ...]: the element behind a pair's place is its rank, and at 0 stands what a missing pair has.
-        buckets: list[list[int]] = [[NEVER] for _ in range(size)]
+        while wide < len(self.pieces):
+            wide *= 2
+        # A bucket is [null, pair, rank, pair, rank, ...]: the element behind a pair's place is its rank, and at 0 stands what a missing pair has. Pairs are larger than ranks.
+        buckets: list[list[int | None]] = [[None] for _ in range(size)]
         for left, rights in enumerate(self.pairs):
             for right, rank in rights.items():
-                buckets[(left * SPREAD + right) & (size - 1)] += [(left + 1) << 32 | right, rank]
-        tables = F.struct(self._literal(buckets, "array<array<bigint>>").alias("pair"), self._literal(self.singles, "array<bigint>").alias("single"), F.lit(size - 1).cast("long").alias("mask"))
+                buckets[(left * SPREAD + right) & (size - 1)] += [(left + 1) * wide + right, rank]
+        literal = lambda x: F.lit(x).cast("long")
+        tables = F.struct(self._literal(buckets, "array<array<bigint>>").alias("pair"), self._literal(self.singles, "array<bigint>").alias("single"), literal(size - 1).alias("mask"), literal(wide).alias("wide"))
         folded = let(tables, lambda t: self._fold(word, t))
         if not self.odd:
             return folded
@@ -124,7 +126,7 @@ class BytePairs:
     def _fold(word: Column, tables: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
             place = (left * SPREAD + right).bitwiseAND(tables["mask"]).cast("int")
-            return let(tables["pair"][place], lambda b: b[F.array_position(b, (left + 1) * (1 << 32) + right).cast("int")])
+            return let(tables["pair"][place], lambda b: b[F.array_position(b, (left + 1) * tables["wide"] + right).cast("int")])
 
         none = F.array().cast("array<bigint>")
         ids = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda b: tables["single"][F.ascii(b)])  # one character for each byte
@@ -134,7 +136,7 @@ class BytePairs:
             return F.struct(t.alias("t"), r.alias("r"), F.array_min(r).alias("low"))
 
         def step(acc: Column, _: Column) -> Column:
-            return F.when(acc["low"].isNull() | (acc["low"] == NEVER), acc).otherwise(let(F.array_position(acc["r"], acc["low"]).cast("int"), lambda i: merge(acc, i)))
+            return F.when(acc["low"].isNull(), acc).otherwise(let(F.array_position(acc["r"], acc["low"]).cast("int"), lambda i: merge(acc, i)))
 
         def merge(acc: Column, i: Column) -> Column:
             t, r, low = acc["t"], acc["r"], acc["low"]
@@ -167,6 +169,13 @@ class Splitter:
         return PatternTokens(texts, self.pattern) if self.classes is None else PreTokens(texts, np.frombuffer(self.classes, dtype=np.uint8))
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about OUT_CHARS characters together, so that few texts are Python strings at a time."""
+    size = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // OUT_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+    return ((lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo)
+
+
 def _words(splitter):
     """shard, text -> shard, word: the different words of each shard in a batch."""
 
@@ -175,10 +184,12 @@ def _words(splitter):
         for b in batches:
             shard = b.column(0).to_numpy()
             for s in np.unique(shard).tolist():
-                texts = b.column(1).filter(pa.array(shard == s)).to_pylist()
+                column = b.column(1).filter(pa.array(shard == s))
                 seen: set[bytes] = set()
-                for i, j in steps(texts):
-                    seen.update(split(texts[i:j]).raw_words)
+                for lo, hi in _slices(column):
+                    texts = column.slice(lo, hi - lo).to_pylist()
+                    for i, j in steps(texts):
+                        seen.update(split(texts[i:j]).raw_words)
                 yield pa.RecordBatch.from_arrays([pa.array([s] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], ["shard", "word"])
 
     return run
@@ -237,13 +248,10 @@ def _by_table(splitter, pieces, table, names: list[str], text: str, ids: str, de
         put, words = Assembler(splitter.value, pieces.value), table.value
         for b in batches:
             texts = b.column(b.schema.get_field_index(text))
-            size = np.cumsum([len(t or "") for t in texts.to_pylist()]) // OUT_CHARS
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    part = b.slice(lo, hi - lo)
-                    got = put(["" if t is None else t for t in texts.slice(lo, hi - lo).to_pylist()], words.flat, words.of)
-                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *got], [*names, ids, decoded])
+            for lo, hi in _slices(texts):
+                part = b.slice(lo, hi - lo)
+                got = put(["" if t is None else t for t in texts.slice(lo, hi - lo).to_pylist()], words.flat, words.of)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *got], [*names, ids, decoded])
 
     return run
 
@@ -286,17 +294,19 @@ def _packed(kind: str):
 
 
 class WordTable:
-    """The ids of counted distinct words, by their hashes (which all differ)."""
+    """The ids of counted distinct words, in the order of the words' hashes (which all differ)."""
 
     def __init__(self, h: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> None:
         order = np.argsort(h)
-        self.h, self.flat = h[order], flat
-        self.start, self.size = offsets[:-1][order].astype(np.int32), np.diff(offsets)[order].astype(np.int32)
+        sizes = np.diff(offsets)[order]
+        self.h, self.flat = h[order], flat[_spread(sizes, offsets[:-1][order])]
+        self.at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each word start, and how many they are."""
-        at = np.searchsorted(self.h, word_hash(words))
-        return self.start[at].astype(np.int64), self.size[at].astype(np.int64)
+        place = np.searchsorted(self.h, word_hash(words))
+        start = self.at[place].astype(np.int64)
+        return start, self.at[place + 1].astype(np.int64) - start
 
 
 def word_table(known: DataFrame, kind: str) -> WordTable | None:

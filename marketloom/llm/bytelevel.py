@@ -50,13 +50,13 @@ def pattern_classes(pattern: str) -> bytes | None:
         return None
     import tiktoken
 
-    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     table = bytearray(0x110000)
     for cls, kind in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
         # What the pattern does not match is left out, so the bytes that come back are those of the class.
         one = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        for ch in bytes(one.encode_ordinary(chars)).decode():
-            table[ord(ch)] = cls
+        for low in range(0, 0x110000, 0x4000):
+            for ch in bytes(one.encode_ordinary("".join(chr(c) for c in range(low, low + 0x4000) if not 0xD800 <= c < 0xE000))).decode():
+                table[ord(ch)] = cls
     return bytes(table)
 
 
