@@ -17,7 +17,7 @@ from .common import col, fresh, let, maybe_broadcast, stored, text_of
 
 #: Template words in a window, hits needed on one diagonal (13 words in a row), and the shortest item that is searched for.
 WINDOW, HITS, MIN_WORDS = 8, 6, 5
-NAME, UNIT, RUN = "\u0002", "\u0003", "\u0004"
+NAME, UNIT, RUN, DOT, COMMA = "\u0002", "\u0003", "\u0004", "\u0005", "\u0006"
 #: Fixed list of unit words that may follow a number.
 UNITS = (
     "km", "m", "cm", "mm", "mi", "ft", "in", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "h", "hr", "hrs", "hour", "hours", "min", "minutes", "s", "sec", "seconds", "day", "days", "week", "weeks",
@@ -26,24 +26,39 @@ UNITS = (
 )
 
 
-def tokens(text: Column) -> Column:
-    """Words in order; names (capitalised inside a sentence) and units (after a number) carry a mark as first character."""
-    named = F.regexp_replace(text, r"([\p{L}\p{N},;]) (\p{Lu}\p{Ll})", f"$1 {NAME}$2")
-    units = F.regexp_replace(named, rf"(\p{{N}}) ?((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    return F.filter(F.split(units, rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}]+"), lambda w: w != "")
+def marked_units(text: Column) -> Column:
+    """The text with a mark before each unit (behind a number). Characters that serve as marks are blanks."""
+    marks = (NAME, UNIT, RUN, DOT, COMMA)
+    has = F.contains(text, F.lit(marks[0]))
+    for m in marks[1:]:
+        has = has | F.contains(text, F.lit(m))
+    bare = F.when(has, F.translate(text, "".join(marks), " " * len(marks))).otherwise(text)
+    return F.regexp_replace(bare, rf"(\p{{N}}) ?((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
 
 
-def canonical(text: Column) -> Column:
+def _cut(text: Column, extra: str) -> Column:
+    """The runs of letters, digits and these marks. One class of characters: no pattern repeats a group, so runs of any length are cut without recursion."""
+    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}{extra}]+"), "")
+
+
+def tokens(marked: Column) -> Column:
+    """The words of a text with marked units, in order; names (capitalised inside a sentence) and units carry a mark as first character."""
+    named = F.regexp_replace(marked, r" (?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", f" {NAME}")
+    return _cut(named, NAME + UNIT)
+
+
+def canonical(units: Column) -> Column:
     """As `tokens`, but every capitalised word is a name, at the start of a sentence too, a run of names is one word, and so is a number with its separators."""
-    marked = F.regexp_replace(F.translate(text, NAME + UNIT + RUN, "   "), r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{Ll})", NAME)
-    runs = F.regexp_replace(marked, rf"(?<=[\p{{L}}\p{{N}}]) {NAME}(?<={NAME}[\p{{L}}\p{{N}}]{{1,40}} {NAME})", RUN)
-    units = F.regexp_replace(runs, rf"(\p{{N}}) ?((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    return F.filter(F.split(units, rf"(?:[^\p{{L}}\p{{N}}{NAME}{UNIT}{RUN}.,]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"), lambda w: w != "")
+    marked = F.regexp_replace(units, rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{UNIT}]\p{{Lu}})(?=\p{{Ll}})", f"{NAME}$0")
+    runs = F.replace(F.regexp_replace(marked, rf"({NAME}[\p{{L}}\p{{N}}]+) (?={NAME})", f"$1{RUN}"), F.lit(RUN + NAME), F.lit(RUN))
+    for sign, mark in ((r"\.", DOT), (",", COMMA)):
+        runs = F.regexp_replace(runs, rf"{sign}(?<=\p{{N}}{sign})(?=\p{{N}})", mark)
+    return _cut(runs, NAME + UNIT + RUN + DOT + COMMA)
 
 
 def n_words(words: Column, n: Column) -> Column:
     """How many words, as `tokens` counts them, the first `n` of `words` hold."""
-    return F.aggregate(F.slice(words, F.lit(1), n), F.lit(0), lambda s, w: s + F.size(F.split(w, rf"[{RUN}.,]+")))
+    return F.aggregate(F.slice(words, F.lit(1), n), F.lit(0), lambda s, w: s + F.size(F.split(w, rf"[{RUN}{DOT}{COMMA}]+")))
 
 
 def slot(word: Column) -> Column:
@@ -80,17 +95,16 @@ def windows(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: grow(h, 1, None, 0, length, h))
 
 
-def folded(text: Column) -> Column:
+def folded(marked: Column) -> Column:
     """The words of `tokens` without marks and without case."""
-    units = F.regexp_replace(F.lower(F.upper(text)), rf"(\p{{N}}) ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1 $2")
-    return F.filter(F.split(units, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return _cut(F.lower(F.upper(F.replace(marked, F.lit(UNIT), F.lit(" ")))), "")
 
 
 def verbatim_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-#: How a text is read: its words, their hashes, and whether some of them are placeholders.
+#: How a text with marked units is read: its words, their hashes, and whether some of them are placeholders.
 READINGS = {"template": (tokens, template, True), "canonical": (canonical, template, True), "verbatim": (folded, verbatim_hashes, False)}
 
 
@@ -116,7 +130,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     readings = {k: READINGS[k] for k in READINGS if verbatim or k != "verbatim"}
     items, wins, lengths = {}, None, {}
     for kind, (words, hashes, typed) in readings.items():
-        its = benchmark.select(col(item_col).alias("item"), words(text_of(item_text)).alias("words"))
+        its = benchmark.select(col(item_col).alias("item"), words(marked_units(text_of(item_text))).alias("words"))
         its = its.filter(F.size("words") >= min_words).withColumn("hashes", hashes(F.col("words"))).withColumn("len", F.least(F.size("words"), F.lit(window)))
         items[kind] = its = stored(its, "benchmark-words")
         lengths[kind] = sorted(r[0] for r in its.select("len").distinct().collect())  # at most `window` values
@@ -134,14 +148,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     n_wins = wins.count()
 
     text = text_of(text_col)
-    base = docs.select(*_digest(text), text.alias("text"))
-    found = None
-    for kind, (words, hashes, _) in readings.items():
-        for n in lengths[kind]:
-            w = base.select("t1", "t2", F.posexplode_outer(windows(hashes(words(F.col("text"))), n)).alias("pos", "win"))
-            own = wins.filter((F.col("kind") == kind) & (F.col("len") == n))
-            hit = w.join(maybe_broadcast(own, n_wins), "win").select("kind", "t1", "t2", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
-            found = hit if found is None else found.unionByName(hit)
+    base = docs.select(*_digest(text), marked_units(text).alias("marked"))  # once for all readings
+    read = [F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("len"), windows(hashes(words(F.col("marked"))), n).alias("wins")) for kind, (words, hashes, _) in readings.items() for n in lengths[kind]]
+    found = base.select("t1", "t2", F.explode(F.array(*read)).alias("r")).select("t1", "t2", "r.kind", "r.len", F.posexplode("r.wins").alias("pos", "win"))
+    found = found.join(maybe_broadcast(wins, n_wins), ["win", "kind", "len"]).select("kind", "t1", "t2", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
     lines = (
         found.distinct().groupBy("kind", "t1", "t2", "item", "shift").agg(F.count(F.lit(1)).alias("hits"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
         .join(needed, ["kind", "item"]).filter(F.col("hits") >= F.least(F.col("n_windows"), F.lit(hits)))
@@ -158,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     accepted = lines.filter(F.col("kind") == "verbatim").select("t1", "t2", "item", "shift", "hits", "n_windows", (F.col("hits") == F.col("hi") - F.col("lo") + 1).alias("exact"))
     for kind, (words, _, typed) in readings.items():
         if typed:
-            accepted = accepted.unionByName(_consistent(typed_lines.filter(F.col("kind") == kind), items[kind], held.select("t1", "t2", words(F.col("text")).alias("dwords")), verbatim))
+            accepted = accepted.unionByName(_consistent(typed_lines.filter(F.col("kind") == kind), items[kind], held.select("t1", "t2", words(marked_units(F.col("text"))).alias("dwords")), verbatim))
     out = accepted.groupBy("t1", "t2", "item").agg(F.max(F.struct("hits", F.negative("shift").alias("back"), "exact", "n_windows")).alias("m"))
     return stored(out.select("t1", "t2", F.col("item").alias("item_id"), F.negative("m.back").alias("shift"), "m.hits", "m.n_windows", "m.exact"), "leaks")
 

@@ -57,3 +57,11 @@ def test_canonical_placeholders(spark):
     found = {r.doc_id: r for r in find_leaks(df, bench).collect()}
     assert set(found) == {0, 1, 2, 3} and not any(r.exact for r in found.values())
     assert found[0]["shift"] == 0 and found[3]["shift"] == len(lead.split())
+
+
+def test_very_long_runs(spark):
+    """A million separators or capitals in a row, and a very long word."""
+    bench, _ = leaked(spark, [""])
+    runs = [c * 1_000_000 for c in (" ", "-", ".", "\n", "A", ",")] + ["Ab " * 100_000, "1." * 200_000, "é" * 100_000]
+    df = spark.createDataFrame([(i, r + " " + ITEM) for i, r in enumerate(runs)] + [(100 + i, r) for i, r in enumerate(runs)], "doc_id long, text string")
+    assert {r.doc_id for r in find_leaks(df, bench, verbatim=True).collect()} == set(range(len(runs)))
