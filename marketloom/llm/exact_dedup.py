@@ -49,7 +49,7 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
     keep = [c for c in df.columns if c.lower() not in added or c in (id_col, text_col)]
-    h, w1, w2, k1, k2, gid, gn, top = fresh(df, "_h", "_w1", "_w2", "_k1", "_k2", "_gid", "_gn", "_top")
+    h, w1, w2, k1, k2, gid, gn, top, winner, size, stays, sha, tie = fresh(df, "_h", "_w1", "_w2", "_k1", "_k2", "_gid", "_gn", "_top", "_keep", "_size", "_kept", "_sha", "_tie")
     rows = df.select(*[col(c) for c in keep], F.sha2(text_of(text_col).cast("binary"), 256).alias(h))
     seen = repeat_filter(rows.select(h), h, filter_bits)
     cell = _cells(col(h), filter_bits)
@@ -61,7 +61,7 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     possible = hit(cell[0], k1) & hit(cell[1], k2)
     base = [col(c) for c in keep]
 
-    alone = tested.filter(~possible).select(*base, col(id_col).alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"), col(h).alias("_sha"))
+    alone = tested.filter(~possible).select(*base, col(id_col).alias(winner), F.lit(1).cast("long").alias(size), F.lit(True).alias(stays), col(h).alias(sha))
     repeats = tested.filter(possible).select(*base, col(h))
     groups = (
         repeats.groupBy(h).agg(F.max(F.struct(col(id_col).isNotNull().alias("some"), col(id_col).alias("id"))).alias("m"), F.count(F.lit(1)).alias(gn))
@@ -72,15 +72,15 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     joined = repeats.join(groups, h)
     winners = joined.filter(col(id_col).eqNullSafe(col(gid))).groupBy(h).agg(F.count(F.lit(1)).alias(top)).filter(col(top) > 1).select(h)
     winners = stored(winners, "repeated-rows")
-    out = joined.select(*base, col(gid).alias("_keep"), col(gn).alias("_size"), col(id_col).eqNullSafe(col(gid)).alias("_kept"), col(h).alias("_sha"))
+    out = joined.select(*base, col(gid).alias(winner), col(gn).alias(size), col(id_col).eqNullSafe(col(gid)).alias(stays), col(h).alias(sha))
     if winners.isEmpty():
         named = alone.unionByName(out)
     else:
-        tied = out.join(winners.select(col(h).alias("_tie")), (F.col("_sha") == F.col("_tie")) & F.col("_kept"), "left")
-        again = tied.filter(F.col("_tie").isNotNull())
-        again = again.withColumn("_kept", F.row_number().over(Window.partitionBy("_sha").orderBy(F.lit(1))) == 1).drop("_tie")
-        named = alone.unionByName(tied.filter(F.col("_tie").isNull()).drop("_tie")).unionByName(again)
-    return named.select(*base, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
+        tied = out.join(winners.select(col(h).alias(tie)), (col(sha) == col(tie)) & col(stays), "left")
+        again = tied.filter(col(tie).isNotNull())
+        again = again.withColumn(stays, F.row_number().over(Window.partitionBy(sha).orderBy(F.lit(1))) == 1).drop(tie)
+        named = alone.unionByName(tied.filter(col(tie).isNull()).drop(tie)).unionByName(again)
+    return named.select(*base, col(winner).alias("keep_id"), col(size).alias("group_size"), col(stays).alias("kept"), col(sha).alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:

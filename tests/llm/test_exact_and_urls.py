@@ -20,6 +20,14 @@ def test_copies(odd_docs, bits):
     assert {"_h", "key", "bucket", "rid"} <= set(rows[0].asDict())
 
 
+def test_names_that_are_used_inside(spark):
+    rows = [(1, "a", 1, 2, 3, 4, 5, 6), (2, "a", 1, 2, 3, 4, 5, 6), (2, "a", 1, 2, 3, 4, 5, 6), (3, "b", 1, 2, 3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _keep int, _size int, _kept int, _sha int, _tie int, _top int")
+    got = mark_copies(df).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r._keep, r._tie) for r in got) == [(1, 2, 3, 1, 5), (2, 2, 3, 1, 5), (2, 2, 3, 1, 5), (3, 3, 1, 1, 5)] and sum(r.kept for r in got) == 2
+    assert drop_copies(df).columns == df.columns
+
+
 def test_drop_copies_keeps_columns(odd_docs, no_docs):
     kept = drop_copies(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.selectExpr("coalesce(text, '') t").distinct().count()
