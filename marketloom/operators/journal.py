@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import div, tags_array
 from ..functions.text import tokenize
+from ..session import cut_lineage
 from .series import latest, top_per_key
 
 # The tables, their columns, and the key that makes a row unique.
@@ -148,55 +153,120 @@ def top_insights(mem: DataFrame, n: int = 5) -> DataFrame:
 
 def token_set(text: str) -> Column:
     """The different lower-case words of a text, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.trim(F.col(text))), r"\s+"), lambda t: F.length(t) > 0)))
+    return F.sort_array(F.array_distinct(F.filter(F.split(F.lower(F.trim(F.col(text))), r"\s+"), lambda t: F.length(t) > 0)))
+
+
+#: At most so many token ranks are sent to the tasks; the tokens below them count as equally rare.
+RANKED = 1 << 20
+#: Longs of the bit signature of a set.
+WORDS = 16
+
+
+def prefix_udf(hashes, counts):
+    """(prefix, bits) of a hashed set: its `first` rarest tokens, and the parity of its tokens in each of 64 * WORDS classes."""
 
+    @F.pandas_udf("prefix array<bigint>, bits array<bigint>")
+    def prefix(sets: pd.Series, first: pd.Series) -> pd.DataFrame:
+        known, df = hashes.value, counts.value
+        heads, bits = [], []
+        for h, n in zip(sets, first):
+            h = np.asarray(h, dtype=np.int64)
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            rank = np.where(known[at] == h, df[at], 0) if len(known) else np.zeros(len(h), dtype=np.int64)
+            heads.append(h[np.lexsort((h, rank))[:n]])
+            odd = np.bincount(h & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        return pd.DataFrame({"prefix": heads, "bits": bits})
 
-def set_join(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
+    return prefix
+
+
+def set_join(left: DataFrame, right: DataFrame, threshold: float = 0.8, best: str | None = None) -> DataFrame:
     """(l, r): all pairs of one category whose sets overlap in at least `threshold` of the larger one.
 
     `left` and `right` have (category, sid, toks) with different sets only. Tokens
-    are ordered by how few sets hold them. A set of n tokens can lack at most
-    n - ceil(threshold * n) of them, so a pair shares one of the first
-    n - ceil(threshold * n) + 1 of each: only these rarest tokens are joined on.
-    Sizes and the places of the shared token bound the overlap before whole sets
-    are compared.
+    are ordered by how many sets hold them, those too rare to be ranked first. A
+    set of n tokens can lack at most n - ceil(threshold * n) of them, so a pair
+    shares one of the first n - ceil(threshold * n) + 1 of each: only these are
+    joined on. Each token turns one bit of its set's signature; two signatures differ
+    in no more bits than the sets in tokens, so pairs that differ in too many are
+    left out inside the join, and only near ones are written and compared whole.
+    With `best`, a column of `right` that differs in each of its sets, only the
+    partner that is first by it is kept; the first ones are compared first, in
+    rounds of 1, 8, 64, ... a set, until every set has one or none is left.
     """
-    every = left.unionByName(right).select("category", "sid", "toks").distinct()
-    df = every.select("category", F.explode("toks").alias("tok")).groupBy("category", "tok").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefixes(sets: DataFrame, side: str) -> DataFrame:
-        each = sets.select("category", "sid", F.size("toks").alias("size"), F.explode("toks").alias("tok")).join(df, ["category", "tok"])
+    same = left.sameSemantics(right)
+    hashed = lambda d: d.select("category", "sid", F.size("toks").alias("size"), F.transform("toks", lambda t: F.xxhash64("category", t)).alias("hs"))
+    both = hashed(left) if same else hashed(left).unionByName(hashed(right))
+    held = both.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    total = both.agg(F.sum("size")).first()[0] or 0
+    ranked = held.filter(F.col("df") >= max(2, math.ceil(total / RANKED))).toArrow()  # at most RANKED rows
+    known, df = ranked["h"].to_numpy(), ranked["df"].to_numpy()
+    order = np.argsort(known)
+    sc = left.sparkSession.sparkContext
+    prefix = prefix_udf(sc.broadcast(known[order]), sc.broadcast(df[order]))
+
+    def marked(sets: DataFrame) -> DataFrame:
         need = F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int")
-        ranked = each.groupBy("category", "sid", "size").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered"))
-        first = ranked.select("category", "sid", "size", F.posexplode(F.slice("ordered", F.lit(1), F.col("size") - need + 1)).alias("at", "e"))
-        return first.select("category", F.col("e.tok").alias("tok"), F.col("sid").alias(side), F.col("size").alias(f"{side}_size"), F.col("at").alias(f"{side}_at"))
-
-    least = F.lit(threshold) * F.greatest("l_size", "r_size") - 1e-9
-    rest = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
-    pairs = prefixes(left, "l").join(prefixes(right, "r"), ["category", "tok"]).filter((F.least("l_size", "r_size") >= least) & (F.least("l_at", "r_at") + rest >= least)).select("l", "r").distinct()
+        return cut_lineage(hashed(sets).withColumn("p", prefix("hs", F.col("size") - need + 1)).drop("hs"))
+
+    def prefixes(marks: DataFrame, side: str) -> DataFrame:
+        d = marks.select(F.explode("p.prefix").alias("h"), "category", F.col("sid").alias(side), F.col("size").alias(f"{side}_size"), *[F.col("p.bits")[i].alias(f"{side}_{i}") for i in range(WORDS)])
+        return d.withColumnRenamed("category", f"{side}_category")
+
+    least = F.ceil(F.lit(threshold) * F.greatest("l_size", "r_size") - 1e-9)
+    apart = sum((F.bit_count(F.col(f"l_{i}").bitwiseXOR(F.col(f"r_{i}"))) for i in range(WORDS)), F.lit(0))
+    near = (F.least("l_size", "r_size") >= least) & (apart <= F.col("l_size") + F.col("r_size") - 2 * least) & F.col("l_category").eqNullSafe(F.col("r_category"))
+    near = near & (F.col("l") < F.col("r")) if same else near
+    marks = marked(left)
+    l, r = prefixes(marks, "l"), prefixes(marks if same else marked(right), "r").withColumnRenamed("h", "rh")
+    pairs = l.join(r, (F.col("h") == F.col("rh")) & near).select("l", "r").distinct()
+    if same:  # found one way; a set is its own partner
+        pairs = pairs.select(F.explode(F.array(F.struct("l", "r"), F.struct(F.col("r").alias("l"), F.col("l").alias("r")))).alias("p")).select("p.l", "p.r")
+        pairs = pairs.unionByName(left.filter(F.size("toks") > 0).select(F.col("sid").alias("l"), F.col("sid").alias("r")))
     a, b = left.select(F.col("sid").alias("l"), F.col("toks").alias("_a")), right.select(F.col("sid").alias("r"), F.col("toks").alias("_b"))
-    both = pairs.join(a, "l").join(b, "r")
-    return both.filter(F.size(F.array_intersect("_a", "_b")) >= F.lit(threshold) * F.greatest(F.size("_a"), F.size("_b")) - 1e-9).select("l", "r")
+
+    def whole(some: DataFrame) -> DataFrame:
+        alike = F.size(F.array_intersect("_a", "_b")) >= F.lit(threshold) * F.greatest(F.size("_a"), F.size("_b")) - 1e-9
+        return some.join(a, "l").join(b, "r").filter(alike).drop("_a", "_b")
+
+    if best is None:
+        return whole(pairs)
+    order = right.select(F.col("sid").alias("r"), F.col(best).alias("_best"))
+    rest = pairs.join(order, "r")
+    if same:  # nothing after the set itself can be first
+        rest = rest.join(order.select(F.col("r").alias("l"), F.col("_best").alias("_own")), "l").filter(F.col("_best") <= F.col("_own")).drop("_own")
+    rest, found, n = cut_lineage(rest.select("l", "r", "_best")), None, 1
+    while True:
+        tried = top_per_key(rest, ["l"], [F.col("_best")], n).drop("_rank")
+        first = cut_lineage(whole(tried).groupBy("l").agg(F.min_by("r", "_best").alias("r")))
+        found = first if found is None else found.unionByName(first)
+        rest = cut_lineage(rest.join(tried.select("l", "r"), ["l", "r"], "left_anti").join(first.select("l"), "l", "left_anti"))
+        if rest.isEmpty():
+            return found
+        n *= 8
 
 
 def similar_memory(new: DataFrame, stored: DataFrame, threshold: float = 0.8, pool: int | None = None) -> DataFrame:
     """The most important stored memory of the same category that is similar to each new one (smallest id of equal ones), if any.
 
     All stored rows are searched; with `pool`, only so many most important ones
-    of each category. Equal texts are one set, so copies are compared once.
+    of each category. Equal texts are one set, so copies are compared once. The
+    sets are written once to the checkpoint folder and numbered there.
     """
     rows = stored.select("category", "id", "importance", token_set("content").alias("toks"))
     if pool is not None:
         rows = top_per_key(rows, ["category"], [F.desc("importance"), F.col("id")], pool).drop("_rank")
-    sid = F.sha2(F.concat_ws("\u0001", F.col("category").cast("string"), F.array_join("toks", "\u0002")), 256).alias("sid")
+    key = F.unhex(F.sha2(F.concat_ws("\u0001", F.col("category").cast("string"), F.array_join("toks", "\u0002")), 256)).alias("key")
     better = F.struct(F.col("importance").isNull().alias("none"), (-F.col("importance")).alias("low"), F.col("id").alias("id"))
-    kept = rows.filter(F.col("category").isNotNull() & (F.size("toks") > 0)).select("category", sid, "toks", better.alias("best"))
-    kept = kept.groupBy("category", "sid").agg(F.any_value("toks").alias("toks"), F.min("best").alias("best"))
-    asked = new.select("category", F.col("id").alias("new_id"), token_set("content").alias("toks")).withColumn("sid", sid)
-    sets = asked.filter(F.col("category").isNotNull() & (F.size("toks") > 0)).groupBy("category", "sid").agg(F.any_value("toks").alias("toks"))
-    found = set_join(sets, kept.select("category", "sid", "toks"), threshold)
-    hit = found.join(kept.select(F.col("sid").alias("r"), "best"), "r").groupBy(F.col("l").alias("sid")).agg(F.min("best").alias("best"))
-    return asked.select("new_id", "category", "sid").join(hit, "sid", "left").select("new_id", "category", F.col("best.id").alias("existing_id"))
+    real = F.col("category").isNotNull() & (F.size("toks") > 0)
+    numbered = lambda g, *more: cut_lineage(g.agg(F.any_value("toks").alias("toks"), *more).withColumn("sid", F.monotonically_increasing_id()))
+    kept = numbered(rows.filter(real).select("category", key, "toks", better.alias("best")).groupBy("category", "key"), F.min("best").alias("best"))
+    asked = new.select("category", F.col("id").alias("new_id"), token_set("content").alias("toks"))
+    sets = kept if pool is None and new.sameSemantics(stored) else numbered(asked.filter(real).select("category", key, "toks").groupBy("category", "key"))
+    found = set_join(sets, kept, threshold, best="best")
+    hit = found.join(kept.select(F.col("sid").alias("r"), "best"), "r").join(sets.select(F.col("sid").alias("l"), "key"), "l").select("key", "best")
+    return asked.select("new_id", "category", key).join(hit, "key", "left").select("new_id", "category", F.col("best.id").alias("existing_id"))
 
 
 def scan_page(results: DataFrame, status: str | None = None, page: int = 1, size: int = 50) -> DataFrame:

@@ -187,3 +187,23 @@ def test_similar_memories_against_all_pairs(spark):
     for pool in (None, 20):
         got = {r.new_id: r.existing_id for r in J.similar_memory(df, df, pool=pool).collect()}
         assert got == {i: best(i, c, pool) for i, c, _, _ in rows}
+
+
+def test_set_join_compares_few_sets_whole(spark):
+    """Sets that share a rare word but differ in too many others never leave the join; the first partner comes from the rounds."""
+    from marketloom.operators import journal as J
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        own = {f"c{i // 6}_{k}" for k in range(40)}
+        own = set(sorted(own)[: 40 - i % 6]) | {f"x{i}", "common"} | {f"rare{j}" for j in rng.choice(30, size=4, replace=False)}
+        rows.append((i, "a" if i % 13 else "b", sorted(own), (i * 7) % 120))
+    d = spark.createDataFrame(rows, "sid long, category string, toks array<string>, place int")
+    other = spark.createDataFrame(rows[:70], "sid long, category string, toks array<string>, place int")
+    alike = lambda p, q: p[1] == q[1] and len(set(p[2]) & set(q[2])) >= 0.8 * max(len(p[2]), len(q[2])) - 1e-9
+    for right, theirs in ((d, rows), (other, rows[:70])):
+        want = {(p[0], q[0]) for p in rows for q in theirs if alike(p, q)}
+        assert {(r.l, r.r) for r in J.set_join(d, right).collect()} == want
+        first = {l: min((q[3], q[0]) for q in theirs if (l, q[0]) in want)[1] for l, _ in want}
+        assert {r.l: r.r for r in J.set_join(d, right, best="place").collect()} == first
