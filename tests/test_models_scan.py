@@ -65,3 +65,29 @@ def test_a_scan_goes_on_where_it_stopped(spark, market, tmp_path):
     assert set(first.values()) == {1}
     again = {r.symbol: r for r in SC.resume_scan(spark, folder, lambda done: market(done, modelled=("GOOD", "NEXT"))).collect()}
     assert again["GOOD"].attempt == 1 and again["NEXT"].attempt == 2 and again["NEXT"].status == "completed" and again["NONE"].code == "no_data" and len(again) == 5
+
+
+def test_scan_computes_its_bars_once(spark):
+    """Every stage reads the bars; they are computed once."""
+    import pandas as pd
+
+    from marketloom.operators import scan as SC
+    from marketloom.operators.series import declare_daily
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    days = pd.date_range("2022-01-03", periods=420, tz="UTC")
+    rows = pd.concat([pd.DataFrame({"symbol": s, "timestamp": days, "open": p, "high": p + 1.0, "low": p - 1.0, "close": [p + (i * 7 % 13) * 0.1 for i in range(420)], "volume": 1000.0}) for s, p in (("A", 50.0), ("B", 80.0))])
+    bars = spark.createDataFrame(rows)
+    bars = declare_daily(bars.mapInPandas(counted, bars.schema))
+    universe = spark.createDataFrame([("A", "X"), ("B", "X"), ("C", "X")], "symbol string, sector string")
+    one = spark.createDataFrame([(0.01,)], "ret double")
+    funds, etf = spark.createDataFrame([("X", "EX")], "sector string, etf string"), spark.createDataFrame([("EX", 0.02)], "etf string, ret double")
+    out = SC.universe_scan(universe, bars, lambda d: d.selectExpr("symbol", "0.7D AS probability_up"), one, funds, etf)
+    assert {r.symbol: r.code for r in out.collect()}["C"] == "no_data"
+    assert seen.value == len(rows)
