@@ -78,3 +78,23 @@ def test_no_task_holds_a_whole_key(bars):
 def test_top_per_key_cuts_before_the_exchange(bars):
     plan = S.top_per_key(bars, ["symbol"], [F.desc("close")], 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_exponential_means_share_one_sort(spark, capsys):
+    """Windows inside runs and over the block need one order of the rows: one sort for the index, one for all means."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from marketloom.operators import technical as T
+    from marketloom.operators.series import blocked, declare_daily
+
+    rows = pd.DataFrame({"symbol": "A", "timestamp": pd.date_range("2020-01-01", periods=1200, tz="UTC"), "close": [100.0 + (i * 37 % 11) for i in range(1200)]})
+    b = blocked(declare_daily(spark.createDataFrame(rows)), back=T.EMA_BACK).indexed()
+    cols = T.trend_ema(b) + T.macd(b)
+    out = b.owned().select("symbol", "timestamp", *cols)
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("Sort [") <= 2
+    want = rows["close"].ewm(span=12, adjust=False).mean() - rows["close"].ewm(span=26, adjust=False).mean()
+    got = [r[0] for r in out.orderBy("timestamp").select("macd_12_26_9").collect()]
+    assert max(abs(g - w) for g, w in zip(got, want)) < 1e-9 and "_sub" not in b.owned().columns
