@@ -95,3 +95,30 @@ def test_dropped_rows_are_counted(spark):
         got[dup] = (r["rows_before"], r["rows_after"], r["duplicates"], r["negative_volume"], r["missing"], r["repaired"])
         assert Q.gate_rows(flags).filter("volume < 0").isEmpty()
     assert got == {"drop": (4, 2, 1, 1, 2, 0), "keep": (4, 3, 1, 1, 2, 0)}
+
+
+def test_stale_runs_need_no_second_sort(spark, capsys):
+    """Runs at both ends, of exactly the length, one too short, and missing closes, which are never equal."""
+    import pandas as pd
+
+    from marketloom.operators.quality import stale_flags
+    from marketloom.operators.series import DAILY, declare_daily
+
+    closes = [1.0, 1.0, 1.0, 2.0, 2.0, 3.0, None, None, None, 4.0, 5.0, 5.0, 5.0, 5.0, 6.0, 6.0]
+    rows = [("A" if k else "B", pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), c) for k in (0, 1) for i, c in enumerate(closes)]
+    df = declare_daily(spark.createDataFrame(rows, "symbol string, timestamp timestamp, close double"))
+    for length in (1, 2, 3, 4, 5):
+        run, runs = [], []
+        for i, c in enumerate(closes):
+            if run and c is not None and closes[run[-1]] == c:
+                run.append(i)
+            else:
+                run = [i]
+                runs.append(run)
+        want = {i for r in runs for i in r if len(r) >= length}
+        out = stale_flags(df, length, DAILY)
+        got = out.filter("is_stale").selectExpr("symbol", "datediff(timestamp, date'2024-01-01') as i").collect()
+        assert {(r.symbol, r.i) for r in got} == {(s, i) for s in "AB" for i in want}
+        capsys.readouterr()
+        out.explain()
+        assert capsys.readouterr().out.count("Sort [") <= 1
