@@ -105,7 +105,7 @@ def test_stale_runs_need_no_second_sort(spark, capsys):
     from marketloom.operators.series import DAILY, declare_daily
 
     closes = [1.0, 1.0, 1.0, 2.0, 2.0, 3.0, None, None, None, 4.0, 5.0, 5.0, 5.0, 5.0, 6.0, 6.0]
-    rows = [("A" if k else "B", pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), c) for k in (0, 1) for i, c in enumerate(closes)]
+    rows = [("A" if k else "B", (pd.Timestamp("2024-01-01") + pd.Timedelta(days=i)).to_pydatetime(), c) for k in (0, 1) for i, c in enumerate(closes)]
     df = declare_daily(spark.createDataFrame(rows, "symbol string, timestamp timestamp, close double"))
     for length in (1, 2, 3, 4, 5):
         run, runs = [], []
