@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import asof_join
-from .series import Blocked, lag, zscore
+from .series import Blocked, lag, sliding
 
 # Source column of each output series.
 SERIES = {
@@ -62,9 +62,11 @@ def stage(b: Blocked, params: dict | None = None) -> list[str]:
     w = params.get("zscore_window", 63)
     names = [n for n in SERIES if n in b.df.columns]
     out = {}
+    need = max(10, w // 3)
+    sliding(b, {f"_{m}_{n}": (agg, w, need, F.col(n)) for n in names for m, agg in (("mu", "avg"), ("sd", "stddev"))})
     for n in names:
         out[f"{n}_diff1"] = F.col(n) - lag(b, n)
-        out[f"{n}_z{w}"] = zscore(b, F.col(n), w, max(10, w // 3))
+        out[f"{n}_z{w}"] = F.try_divide(F.col(n) - F.col(f"_mu_{n}"), F.col(f"_sd_{n}") + F.lit(1e-9))
     if params.get("fed_decision_dates"):
         out["macro_fed_decision_flag"] = decision_flag("timestamp", params["fed_decision_dates"], params.get("fed_release_time", "14:00"))
     b.stage(out)

@@ -1,11 +1,15 @@
 """Blocked windows must equal whole-series windows for any block size."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.operators import macro as M
 from marketloom.operators import series as S
+from marketloom.operators import technical as T
 
 
 def small(block=50, span=20):
@@ -98,3 +102,45 @@ def test_exponential_means_share_one_sort(spark, capsys):
     want = rows["close"].ewm(span=12, adjust=False).mean() - rows["close"].ewm(span=26, adjust=False).mean()
     got = [r[0] for r in out.orderBy("timestamp").select("macd_12_26_9").collect()]
     assert max(abs(g - w) for g, w in zip(got, want)) < 1e-9 and "_sub" not in b.owned().columns
+
+
+def test_sliding_equals_frames(spark):
+    """Same values as plain frames, with missing and flat values."""
+    rows = [(f"S{i % 2}", datetime(2020, 1, 1) + timedelta(days=i), None if i % 17 == 3 else 7.0 if i < 60 else float((i * 7919) % 101), float((i * 31) % 13)) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp, x double, y double")
+    b = S.Blocked(df.withColumns({S.BLK: F.lit(0).cast("bigint"), S.OWN: F.lit(True)}), S.DAILY, True)
+    x, y = F.col("x"), F.col("y")
+    both = F.when(x.isNotNull() & y.isNotNull(), 1)
+    plain, quick = {}, {}
+    for w in (5, 14, 63):
+        for need in (None, 3):
+            fr, n = b.rows(-(w - 1), 0), f"{w}_{need}"
+            k = w if need is None else need
+            one = {"avg": F.avg(x), "sum": F.sum(x), "min": F.min(x), "max": F.max(x), "stddev": F.stddev_samp(x), "var": F.var_samp(x)}
+            plain |= {f"p_{a}_{n}": F.when(F.count(x).over(fr) >= k, c.over(fr)) for a, c in one.items()}
+            quick |= {f"q_{a}_{n}": (a, w, need, x) for a in one}
+            two = {"covar": F.covar_samp(x, y), "slope": F.regr_slope(x, y)}
+            plain |= {f"p_{a}_{n}": F.when(F.count(both).over(fr) >= k, c.over(fr)) for a, c in two.items()}
+            quick |= {f"q_{a}_{n}": (a, w, need, x, y) for a in two}
+    S.sliding(b, quick)
+    got = b.stage(plain).owned().collect()
+    assert len(got) == 300
+    for r in got:
+        for n in plain:
+            p, q = r[n], r["q" + n[1:]]
+            assert (p is None) == (q is None), (n, p, q)
+            assert p is None or abs(p - q) <= 1e-9 * max(1.0, abs(p)), (n, p, q)
+    flat = [r["q_stddev_5_3"] for r in got if r["timestamp"].replace(tzinfo=None) < datetime(2020, 2, 20) and r["q_stddev_5_3"] is not None]
+    assert flat and not any(flat)
+
+
+def test_plugins_with_long_windows_take_up_no_row_per_window(spark):
+    """Their plans hold no frame of several rows, only lags of merged states."""
+    cols = ["open", "high", "low", "close", "volume", "bench__close", "sector__close", "macro_vix_proxy"]
+    df = spark.createDataFrame([], "symbol string, timestamp timestamp, " + ", ".join(f"{c} double" for c in cols))
+    for stage in (M.stage, T.volatility, T.relative_strength):
+        b = S.blocked(S.declare_daily(df)).indexed()
+        names = stage(b)
+        plan = b.df.select(*names)._jdf.queryExecution().optimizedPlan().toString().lower()
+        wide = [w for w in (5, 10, 14, 20, 60, 63) if f"rowframe, -{w - 1}, currentrow" in plan]
+        assert "lag(" in plan and not wide, (stage.__name__, wide)
