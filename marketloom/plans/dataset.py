@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..operators import bars as B
 from ..operators import quality as Q
 from ..operators.asof import align
+from ..session import cut_lineage
 from ..sources.files import slice_frame
 
 
@@ -35,4 +36,6 @@ def build_dataset(raw: DataFrame, request: DatasetRequest = DatasetRequest(), *,
     clean = Q.gate_rows(flags)
     if request.timeframe and request.timeframe != request.interval:
         clean = B.resample(clean, request.timeframe, session=request.session, tz="America/New_York")
+    if any(side is not None for side in (fundamentals, macro, news)):
+        clean = cut_lineage(clean)  # an as-of join reads its left side several times
     return align(clean, fundamentals, macro, news), Q.gate_report(flags, request.policy, request.horizon)

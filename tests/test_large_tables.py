@@ -23,3 +23,20 @@ def test_term_slope_needs_no_join(spark):
     # a missing expiry takes one of the three places, as it did
     assert got == {1: 0.3, 3: None, 4: None, 5: 0.2}
     assert "Join" not in plan_of(d)
+
+
+def test_dataset_cleans_once(spark, bars):
+    """The as-of joins read cleaned bars that are written once, not the steps before them again."""
+    from marketloom.plans.dataset import DatasetRequest, build_dataset
+
+    at = "cast('2016-01-01' as timestamp)"
+    funds = spark.sql(f"SELECT 'AAA' AS symbol, {at} AS filing_timestamp, 5.0 AS revenue")
+    macro = spark.sql(f"SELECT {at} AS release_timestamp, 17.0 AS vix")
+    plain, _ = build_dataset(bars, DatasetRequest(timeframe="1w"))
+    d, _ = build_dataset(bars, DatasetRequest(timeframe="1w"), fundamentals=funds, macro=macro)
+    assert "week" in plan_of(plain) and "week" not in plan_of(d)
+    key = ["symbol", "timestamp"]
+    assert sorted(map(tuple, d.select(*key, "close").collect())) == sorted(map(tuple, plain.select(*key, "close").collect()))
+    late = F.col("timestamp") >= F.expr(at)
+    assert d.filter((F.col("macro__vix") == 17.0) != late).isEmpty() and d.filter((F.col("fund__revenue") == 5.0) != (late & (F.col("symbol") == "AAA"))).isEmpty()
+    assert d.filter("macro__vix is null").count() + d.filter(late).count() == d.count()
