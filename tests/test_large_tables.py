@@ -40,3 +40,25 @@ def test_dataset_cleans_once(spark, bars):
     late = F.col("timestamp") >= F.expr(at)
     assert d.filter((F.col("macro__vix") == 17.0) != late).isEmpty() and d.filter((F.col("fund__revenue") == 5.0) != (late & (F.col("symbol") == "AAA"))).isEmpty()
     assert d.filter("macro__vix is null").count() + d.filter(late).count() == d.count()
+
+
+def test_model_features_take_no_long_frames(spark):
+    """Averages and deviations against pandas, with a missing stretch and a flat one; no frame takes up a long window again for every row."""
+    from marketloom.operators.model_features import model_frame
+
+    rng = np.random.default_rng(5)
+    n = 320
+    x = 100 * np.cumprod(1 + rng.normal(0, 0.01, n))
+    x[250:300] = x[250]
+    p = pd.DataFrame({"symbol": "A", "timestamp": pd.date_range("2015-01-01", periods=n), "open": x, "high": x * 1.01, "low": x * 0.99, "close": x, "volume": rng.integers(1, 1000, n).astype(float)})
+    p.loc[100:103, "volume"] = None
+    d = model_frame(spark.createDataFrame(p).withColumn("volume", F.nanvl("volume", F.lit(None))), horizon=None, drop_missing=False)
+    assert not re.search(r"RowFrame, -(19|49|199), currentrow", plan_of(d))
+    got = d.orderBy("timestamp").toPandas()
+    want = {"sma_200": p["close"].rolling(200).mean(), "vol_sma_20": p["volume"].rolling(20).mean(), "bb_upper": p["close"].rolling(20).mean() + 2 * p["close"].rolling(20).std(),
+            "hvol_50": p["close"].pct_change().rolling(50).std() * np.sqrt(252)}
+    for c, w in want.items():
+        np.testing.assert_allclose(got[c].to_numpy(dtype=float), w.to_numpy(), atol=1e-6, equal_nan=True)
+    lo, hi = p["low"].rolling(14).min(), p["high"].rolling(14).max()
+    np.testing.assert_allclose(got["stoch_k"].to_numpy(dtype=float), (100 * (p["close"] - lo) / (hi - lo + 1e-8)).to_numpy(), atol=1e-6, equal_nan=True)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
