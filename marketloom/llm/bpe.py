@@ -39,6 +39,8 @@ SPREAD = 7_919
 TABLE_WORDS, SHARD_BYTES = 4_000_000, 64 << 20
 #: Characters of text in a batch that is returned.
 OUT_CHARS = 3_000_000
+#: Words whose ids are laid out together in the table.
+STEP_WORDS = 65_536
 #: Words of more bytes are folded with a heap: the fold copies its state at each merge, so its work grows with the square of a word.
 LONG_WORD = 256
 
@@ -299,8 +301,12 @@ class WordTable:
     def __init__(self, h: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> None:
         order = np.argsort(h)
         sizes = np.diff(offsets)[order]
-        self.h, self.flat = h[order], flat[_spread(sizes, offsets[:-1][order])]
-        self.at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
+        self.h, self.flat = h[order], np.empty(int(sizes.sum()), dtype=flat.dtype)
+        self.at = np.zeros(len(h) + 1, dtype=np.uint32)
+        np.cumsum(sizes, out=self.at[1:])
+        for i in range(0, len(h), STEP_WORDS):  # the places of all ids at once would take many times the table
+            j = min(i + STEP_WORDS, len(h))
+            self.flat[self.at[i]:self.at[j]] = flat[_spread(sizes[i:j], offsets[order[i:j]])]
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each word start, and how many they are."""
@@ -315,11 +321,12 @@ def word_table(known: DataFrame, kind: str) -> WordTable | None:
     if not got.num_rows:
         return WordTable(np.empty(0, dtype=np.uint64), np.empty(0, dtype=kind), np.zeros(1, dtype=np.int64))
     h = got["h"].to_numpy().view(np.uint64)
-    if len(np.unique(h)) < len(h):
-        return None
-    sizes = pc.binary_length(got["ids"]).to_numpy() // np.dtype(kind).itemsize
+    offsets = np.zeros(len(h) + 1, dtype=np.int64)
+    np.cumsum(pc.binary_length(got["ids"]).to_numpy() // np.dtype(kind).itemsize, out=offsets[1:])
     flat = np.concatenate([_values(c, kind) for c in got["ids"].chunks])
-    return WordTable(h, flat, np.concatenate([[0], np.cumsum(sizes)]))
+    del got  # its memory is free before the table is laid out
+    table = WordTable(h, flat, offsets)
+    return None if (table.h[1:] == table.h[:-1]).any() else table
 
 
 def _values(chunk: pa.Array, kind: str) -> np.ndarray:

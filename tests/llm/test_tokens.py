@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import tempfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from marketloom.llm import bytelevel, range_coder, token_files
+from marketloom.llm import bpe, bytelevel, range_coder, token_files
 from pyspark.sql import functions as F
 
 from marketloom.llm.bpe import BytePairs, encode_and_decode, heap_fold, load_ranks
@@ -148,3 +149,20 @@ def test_other_patterns(spark):
 
 def test_digest_of_ids():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_word_table_is_laid_out_in_little_more_than_its_size():
+    """All places at once took 24 bytes an id, which the driver could not spare in the pipeline."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 40, 300_000)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    h, flat = rng.permutation(300_000).astype(np.uint64), rng.integers(0, 50_000, offsets[-1]).astype("u2")
+    tracemalloc.start()
+    try:
+        t = bpe.WordTable(h, flat, offsets)
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(flat)
+    finally:
+        tracemalloc.stop()
+    at = np.argsort(h)
+    for i in (0, 1, 65_535, 65_536, 299_999):
+        assert t.flat[t.at[i]:t.at[i + 1]].tolist() == flat[offsets[at[i]]:offsets[at[i] + 1]].tolist()
