@@ -184,3 +184,30 @@ def test_daily_budget_rounds_equal_a_loop(spark):
         lots = math.floor(min(qty, 100_000 * min(0.01, left) / atr, 100_000 * 0.20 / px)) if left > 1e-12 else 0
         used[day] = used.get(day, 0.0) + lots * atr / 100_000
         assert got[i]["approved_qty"] == lots and got[i]["daily_used_pct"] == pytest.approx(used[day], abs=1e-12), i
+
+
+def test_first_exits_meet_one_packed_row_per_step(spark):
+    """Entries with missing prices and repeated entries, on a ladder of four levels, against a plain search."""
+    rng = np.random.default_rng(3)
+    n, px = 150, 100.0
+    rows = []
+    for i in range(n):
+        px *= 1 + rng.normal(0, 0.01)
+        rows.append(("A" if i % 3 else "B", pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), px, px * 1.004, px * 0.996))
+    bars = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "timestamp", "open", "high", "low"]))
+    es = [(s, t, k % 2 == 0, None if k % 11 == 0 else o * (0.97 if k % 2 == 0 else 1.03), None if k % 13 == 0 else o * (1.04 if k % 2 == 0 else 0.96)) for k, (s, t, o, _, _) in enumerate(rows)]
+    es += es[:5]
+    out = BT.first_exit(spark.createDataFrame([(s, t.to_pydatetime(), *more) for s, t, *more in es], "symbol string, timestamp timestamp, is_long boolean, stop_price double, take_price double"), bars, fan=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 0  # an entry travels on by itself, not once more for those that are left
+    got = sorted((r["symbol"], r["timestamp"], r["bars_held"], r["exit_timestamp"], r["exit_reason"]) for r in out.collect() if r["bars_held"])
+    want = []
+    for s, t, up, stop, take in es:
+        later = [r for r in rows if r[0] == s and r[1] > t]
+        for held, (_, x, o, h, l) in enumerate(later, 1):
+            st = stop is not None and (l <= stop if up else h >= stop)
+            tk = take is not None and (h >= take if up else l <= take)
+            if st or tk:
+                want.append((s, t, held, x, "stop_loss" if st else "take_profit"))
+                break
+    assert got == sorted((s, t.to_pydatetime(), held, x.to_pydatetime(), why) for s, t, held, x, why in want) and out.count() == len(es)
