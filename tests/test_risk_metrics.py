@@ -211,3 +211,20 @@ def test_first_exits_meet_one_packed_row_per_step(spark):
                 want.append((s, t, held, x, "stop_loss" if st else "take_profit"))
                 break
     assert got == sorted((s, t.to_pydatetime(), held, x.to_pydatetime(), why) for s, t, held, x, why in want) and out.count() == len(es)
+
+
+def test_drift_scans_stored_counts(spark, monkeypatch):
+    """The statistics read counted values; they equal plain ones, repeated values included."""
+    rng = np.random.default_rng(8)
+    a, b = np.round(rng.normal(size=4000), 2), np.round(rng.normal(0.3, 1.2, 1500), 2)
+    seen = []
+    monkeypatch.setattr(D, "cut_lineage", lambda df, keep=D.cut_lineage: seen.append(df.columns) or keep(df))
+    r = D.drift_report(spark.createDataFrame(pd.DataFrame({"x": a})), spark.createDataFrame(pd.DataFrame({"x": b}))).first()
+    assert ["feature", "value", "a", "b"] in seen  # one row a value, not one a cell
+    at = np.unique(np.concatenate([a, b]))
+    gap = np.abs(np.searchsorted(np.sort(a), at, "right") / len(a) - np.searchsorted(np.sort(b), at, "right") / len(b)).max()
+    edges = np.unique(np.quantile(a, np.linspace(0, 1, 11)))[1:-1]
+    rp, cp = (np.maximum(np.bincount(np.searchsorted(edges, v, "right"), minlength=len(edges) + 1) / len(v), 1e-6) for v in (a, b))
+    assert r["ks_stat"] == pytest.approx(gap) and r["psi"] == pytest.approx(((cp - rp) * np.log(cp / rp)).sum())
+    assert r["zscore_shift"] == pytest.approx((b.mean() - a.mean()) / (a.std() / np.sqrt(len(b))))
+    assert (r["train_samples"], r["live_samples"]) == (4000, 1500)
