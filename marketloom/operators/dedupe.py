@@ -9,7 +9,8 @@ tokens are hashed into d+1 classes, at least one class is equal in both sets,
 so equal (level, class, hash of that class) keys reach every true pair; unequal
 texts hardly ever share a key.
 
-Rounds then follow the greedy order with group minima only:
+A text that shares no key with another one in reach is accepted at once.  Rounds
+then follow the greedy order of the others with group minima only:
   * a text that is the earliest undecided one under all of its keys cannot be
     dropped any more: it is accepted;
   * at most two new texts are accepted per (key, time cell), so comparing the
@@ -66,6 +67,26 @@ def signature_udf(threshold: float):
     return signatures
 
 
+def _meeting(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that share a key with another one in reach, and (id, t) of all others, which are accepted.
+
+    Only (key, cell) hashes and their counts are shuffled for that; the rounds, which
+    shuffle keys and tokens several times, are left with the rows that may have a partner.
+    Equal hashes of different places send more rows to the rounds, never fewer.
+    """
+    places = F.array(F.xxhash64("k", "cell"), F.xxhash64("k", F.col("cell") + 1))
+    at = rows.select("r", "cell", F.explode("sig").alias("k")).select("r", F.explode(places).alias("x"))
+    shared = cut_lineage(at.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x"))
+    some = cut_lineage(at.join(_small(shared), "x", "left_semi").select("r").distinct())
+    some = _small(some)
+    return cut_lineage(rows.join(some, "r", "left_semi").drop("r")), rows.join(some, "r", "left_anti").select("id", "t")
+
+
+def _small(keys: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A broadcast hint while the counted keys (of 8 bytes) are few."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 def dedupe_near_identical(df: DataFrame, *, id_col: str, time: str = "timestamp", text: str = "text", threshold: float = 0.9,
                           window_hours: int = 48) -> DataFrame:
     """`id_col` values of the accepted rows (columns: id, ts)."""
@@ -73,9 +94,9 @@ def dedupe_near_identical(df: DataFrame, *, id_col: str, time: str = "timestamp"
     rows = df.select(F.col(id_col).alias("id"), F.unix_micros(time).alias("t"), F.array_distinct(tokenize(text)).alias("tok"))
     rows = rows.withColumn("sig", F.array_distinct(signature_udf(threshold)(F.transform("tok", lambda x: F.xxhash64(x)))))
     rows = rows.withColumn("cell", F.floor(F.col("t") / micros))
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows.withColumn("r", F.xxhash64("id", "t", "sig")))
+    rows, kept = _meeting(rows)
     left = rows.select("id", "t", "cell", "sig")
-    kept = None
     while True:  # the earliest undecided text of each key is decided in every round
         entries = left.select("id", "t", "cell", F.explode("sig").alias("k"))
         both = entries.select("k", "cell", "id", "t", F.col("cell").alias("home")).unionByName(
@@ -86,12 +107,13 @@ def dedupe_near_identical(df: DataFrame, *, id_col: str, time: str = "timestamp"
         acc = free.select(F.col("id").alias("a"), F.col("t").alias("ta"), "cell", F.explode("sig").alias("k"))
         acc = acc.select("a", "ta", "k", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
         cand = entries.join(acc, ["k", "cell"]).filter((F.col("id") != F.col("a")) & (F.struct("ta", "a") < F.struct("t", "id")) & (F.col("t") - F.col("ta") <= micros))
-        cand = cand.select("a", "id").distinct()
-        tok = rows.select("id", "tok")
+        cand = cut_lineage(cand.select("a", "id").distinct())
+        ids = cand.select(F.explode(F.array("a", "id")).alias("id")).distinct()
+        # only the tokens of candidates travel, while their ids are few enough to be sent to them
+        tok = rows.select("id", "tok") if (few := _small(ids)) is ids else rows.select("id", "tok").join(few, "id", "left_semi")
         sim = cand.join(tok, "id").join(tok.select(F.col("id").alias("a"), F.col("tok").alias("atok")), "a")
         gone = sim.filter(jaccard(F.col("tok"), F.col("atok")) >= threshold).select("id").distinct()
-        part = free.select("id", "t")
-        kept = part if kept is None else kept.unionByName(part)
+        kept = kept.unionByName(free.select("id", "t"))
         left = cut_lineage(left.join(free.select("id"), "id", "left_anti").join(gone, "id", "left_anti"))
         if left.isEmpty():
             return kept.select("id", F.timestamp_micros("t").alias("ts"))

@@ -50,6 +50,21 @@ def test_near_duplicates_equal_the_greedy_rule(spark, seed):
     assert rep["input_count"] == len(rows) and rep["output_count"] + rep["deduped_count"] == len(rows)
 
 
+def test_only_texts_that_share_a_key_in_reach_go_to_the_rounds(spark):
+    t = pd.Timestamp("2024-01-01")
+    rows = [(i, t + pd.Timedelta(hours=i), f"alpha{i} beta{i} gamma{i}") for i in range(20)]
+    rows += [(50, t, "one two three"), (51, t + pd.Timedelta(hours=47), "Three two one"), (52, t + pd.Timedelta(days=9), "one two three")]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "timestamp", "text"]))
+    met = []
+    keep = DD._meeting
+    DD._meeting = lambda r: met.append(keep(r)) or met[-1]
+    try:
+        kept = {r["id"] for r in DD.dedupe_near_identical(df, id_col="id").collect()}
+    finally:
+        DD._meeting = keep
+    assert {r["id"] for r in met[0][0].collect()} == {50, 51} and kept == greedy(rows)
+
+
 def test_three_spellings_of_one_headline(spark):
     t = pd.Timestamp("2024-04-01 09:00")
     rows = [(1, t, "Apple beats earnings!"), (2, t + pd.Timedelta(minutes=2), "APPLE beats earnings"), (3, t + pd.Timedelta(minutes=4), "apple, beats earnings."), (4, t + pd.Timedelta(minutes=5), "Tesla misses deliveries")]
