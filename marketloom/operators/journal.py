@@ -160,6 +160,12 @@ def token_set(text: str) -> Column:
 RANKED = 1 << 20
 #: Longs of the bit signature of a set.
 WORDS = 16
+#: Sets of so many tokens fill that signature; they get one that grows with them.
+LARGE = 64 * WORDS
+#: Bytes of signatures in a tile of large sets.
+TILE = 1 << 20
+#: At most so many ids are sent to the tasks to pick the sets that are compared whole.
+PICKED = 1 << 20
 
 
 def prefix_udf(hashes, counts):
@@ -181,6 +187,90 @@ def prefix_udf(hashes, counts):
     return prefix
 
 
+def signature_udf():
+    """Parity of a hashed set of n tokens in 2n to 4n classes, a power of two of at least 64."""
+
+    @F.pandas_udf("binary")
+    def signature(sets: pd.Series) -> pd.Series:
+        out = []
+        for h in sets:
+            m = max(64, 2 << len(h).bit_length())
+            odd = np.bincount(np.asarray(h, dtype=np.int64) & (m - 1), minlength=m) & 1
+            out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        return pd.Series(out)
+
+    return signature
+
+
+def compare_tiles(threshold: float, least: int, same: bool):
+    """(l, r) of the rows of a cell whose signatures differ in no more bits than similar sets may; the larger one has at least `least` tokens."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["side"] == "l"], rows[rows["side"] == "r"].sort_values("size")
+        found_l, found_r = [], []
+        if len(a) and len(b):
+            words = min(len(x) for x in rows["sig"]) // 8
+
+            def folded(d):
+                return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in d["sig"]])
+
+            bits, sizes, ids = folded(b), b["size"].to_numpy(np.int64), b["sid"].to_numpy()
+            for own, size, sig in zip(a["sid"], a["size"], folded(a)):
+                lo, hi = np.searchsorted(sizes, threshold * size - 1.0), np.searchsorted(sizes, size / threshold + 1.0, "right")
+                other = sizes[lo:hi]
+                need = np.ceil(threshold * np.maximum(other, size) - 1e-9)
+                apart = np.bitwise_count(bits[lo:hi] ^ sig).sum(axis=1, dtype=np.int64)
+                near = (np.minimum(other, size) >= need) & (np.maximum(other, size) >= least) & (apart <= other + size - 2 * need)
+                if same:
+                    near &= (ids[lo:hi] != own) & ((rows["i"].iat[0] != rows["j"].iat[0]) | (rows["lb"].iat[0] != rows["rb"].iat[0]) | (ids[lo:hi] > own))
+                hit = ids[lo:hi][near]
+                found_l.append(np.full(len(hit), own, dtype=ids.dtype))
+                found_r.append(hit)
+        join = lambda xs: np.concatenate(xs) if xs else np.array([], dtype=np.int64)
+        return pd.DataFrame({"l": join(found_l), "r": join(found_r)})
+
+    return compare
+
+
+def large_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """(l, r): pairs of one category that may be similar and of which the larger set has LARGE tokens or more; without `right`, each pair of `left` one way.
+
+    Rows are (category, sid, size, hs). Any two of these sets share rare tokens,
+    so no prefix tells them apart. Sets lie in bands of size, of which a similar
+    pair meets the same or the next one, and in tiles of TILE bytes of
+    signatures; every two tiles that can meet are one cell, compared in numpy.
+    """
+    same, step = right is None, 1e-6 - math.log(threshold)
+    sign = signature_udf()
+
+    def tiled(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+        d = d.filter(F.col("size") >= math.ceil(threshold * LARGE - 1e-9))
+        d = cut_lineage(d.select("category", "sid", "size", F.floor(F.log(F.col("size")) / F.lit(step)).cast("int").alias("band"), sign("hs").alias("sig")))
+        n = d.groupBy("category", "band").agg(F.ceil(F.sum(F.length("sig")) / F.lit(TILE)).cast("int").alias("n"))
+        return d, n
+
+    def on(d: DataFrame, n: DataFrame, band: str) -> DataFrame:
+        n = n.select(F.col("category").alias("_c"), F.col("band").alias("_b"), "n")
+        return d.join(n, d["category"].eqNullSafe(n["_c"]) & (d[band] == n["_b"])).drop("_c", "_b")
+
+    def placed(d: DataFrame, n: DataFrame, band: str, tile: str) -> DataFrame:
+        return on(d.withColumnRenamed("band", band), n, band).withColumn(tile, F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")).drop("n")
+
+    def met(d: DataFrame, n: DataFrame, own: str, band: str, tile: str, steps: tuple[int, ...]) -> DataFrame:
+        d = d.withColumn(band, F.explode(F.array(*[F.col(own) + k for k in steps])))
+        return on(d, n, band).withColumn(tile, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+    ld, ln = tiled(left)
+    rd, rn = (ld, ln) if same else tiled(right)
+    a = met(placed(ld, ln, "lb", "i"), rn, "lb", "rb", "j", (0, 1) if same else (-1, 0, 1)).withColumn("side", F.lit("l"))
+    b = met(placed(rd, rn, "rb", "j"), ln, "rb", "lb", "i", (0, -1) if same else (-1, 0, 1)).withColumn("side", F.lit("r"))
+    cells = a.unionByName(b)
+    if same:
+        cells = cells.filter((F.col("lb") != F.col("rb")) | (F.col("i") <= F.col("j")))
+    kind = left.schema["sid"].dataType.simpleString()
+    return cells.groupBy("category", "lb", "i", "rb", "j").applyInPandas(compare_tiles(threshold, LARGE, same), f"l {kind}, r {kind}")
+
+
 def set_join(left: DataFrame, right: DataFrame, threshold: float = 0.8, best: str | None = None) -> DataFrame:
     """(l, r): all pairs of one category whose sets overlap in at least `threshold` of the larger one.
 
@@ -191,6 +281,8 @@ def set_join(left: DataFrame, right: DataFrame, threshold: float = 0.8, best: st
     joined on. Each token turns one bit of its set's signature; two signatures differ
     in no more bits than the sets in tokens, so pairs that differ in too many are
     left out inside the join, and only near ones are written and compared whole.
+    Sets of LARGE tokens or more fill that signature and share rare tokens with
+    most others; they are found by longer signatures (`large_pairs`).
     With `best`, a column of `right` that differs in each of its sets, only the
     partner that is first by it is kept; the first ones are compared first, in
     rounds of 1, 8, 64, ... a set, until every set has one or none is left.
@@ -208,43 +300,47 @@ def set_join(left: DataFrame, right: DataFrame, threshold: float = 0.8, best: st
 
     def marked(sets: DataFrame) -> DataFrame:
         need = F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int")
-        return cut_lineage(hashed(sets).withColumn("p", prefix("hs", F.col("size") - need + 1)).drop("hs"))
+        return cut_lineage(hashed(sets).filter(F.col("size") < LARGE).withColumn("p", prefix("hs", F.col("size") - need + 1)).drop("hs"))
 
-    def prefixes(marks: DataFrame, side: str) -> DataFrame:
-        d = marks.select(F.explode("p.prefix").alias("h"), "category", F.col("sid").alias(side), F.col("size").alias(f"{side}_size"), *[F.col("p.bits")[i].alias(f"{side}_{i}") for i in range(WORDS)])
-        return d.withColumnRenamed("category", f"{side}_category")
+    def prefixes(marks: DataFrame) -> DataFrame:
+        return marks.select(F.explode("p.prefix").alias("h"), "category", "sid", "size", *[F.col("p.bits")[i].alias(f"b{i}") for i in range(WORDS)])
 
-    least = F.ceil(F.lit(threshold) * F.greatest("l_size", "r_size") - 1e-9)
-    apart = sum((F.bit_count(F.col(f"l_{i}").bitwiseXOR(F.col(f"r_{i}"))) for i in range(WORDS)), F.lit(0))
-    near = (F.least("l_size", "r_size") >= least) & (apart <= F.col("l_size") + F.col("r_size") - 2 * least) & F.col("l_category").eqNullSafe(F.col("r_category"))
-    near = near & (F.col("l") < F.col("r")) if same else near
+    at = lambda side, name: F.col(f"{side}.{name}")
+    least = F.ceil(F.lit(threshold) * F.greatest("l.size", "r.size") - 1e-9)
+    apart = sum((F.bit_count(at("l", f"b{i}").bitwiseXOR(at("r", f"b{i}"))) for i in range(WORDS)), F.lit(0))
+    near = (F.least("l.size", "r.size") >= least) & (apart <= at("l", "size") + at("r", "size") - 2 * least) & at("l", "category").eqNullSafe(at("r", "category"))
+    near = near & (at("l", "sid") < at("r", "sid")) if same else near
     marks = marked(left)
-    l, r = prefixes(marks, "l"), prefixes(marks if same else marked(right), "r").withColumnRenamed("h", "rh")
-    pairs = l.join(r, (F.col("h") == F.col("rh")) & near).select("l", "r").distinct()
-    if same:  # found one way; a set is its own partner
-        pairs = pairs.select(F.explode(F.array(F.struct("l", "r"), F.struct(F.col("r").alias("l"), F.col("l").alias("r")))).alias("p")).select("p.l", "p.r")
-        pairs = pairs.unionByName(left.filter(F.size("toks") > 0).select(F.col("sid").alias("l"), F.col("sid").alias("r")))
+    l = prefixes(marks)
+    r = l if same else prefixes(marked(right))  # of one table, both sides read one exchange
+    pairs = l.alias("l").join(r.alias("r"), (at("l", "h") == at("r", "h")) & near).select(at("l", "sid").alias("l"), at("r", "sid").alias("r")).distinct()
+    pairs = pairs.unionByName(large_pairs(hashed(left), None if same else hashed(right), threshold))
+    two_way = lambda d: d.select(F.explode(F.array(F.struct("l", "r"), F.struct(F.col("r").alias("l"), F.col("l").alias("r")))).alias("p")).select("p.l", "p.r")
+    own = left.filter(F.size("toks") > 0).select(F.col("sid").alias("l"))
     a, b = left.select(F.col("sid").alias("l"), F.col("toks").alias("_a")), right.select(F.col("sid").alias("r"), F.col("toks").alias("_b"))
 
     def whole(some: DataFrame) -> DataFrame:
+        few = some.count() <= PICKED
+        picked = lambda d, side: d.join(F.broadcast(some.select(side).distinct()), side, "left_semi") if few else d
         alike = F.size(F.array_intersect("_a", "_b")) >= F.lit(threshold) * F.greatest(F.size("_a"), F.size("_b")) - 1e-9
-        return some.join(a, "l").join(b, "r").filter(alike).drop("_a", "_b")
+        return some.join(picked(a, "l"), "l").join(picked(b, "r"), "r").filter(alike).drop("_a", "_b")
 
-    if best is None:
-        return whole(pairs)
+    if best is None:  # of one table found one way; a set is its own partner
+        alike = whole(cut_lineage(pairs))
+        return two_way(alike).unionByName(own.select("l", F.col("l").alias("r"))) if same else alike
     order = right.select(F.col("sid").alias("r"), F.col(best).alias("_best"))
-    rest = pairs.join(order, "r")
+    rest = (two_way(pairs) if same else pairs).join(order, "r")
     if same:  # nothing after the set itself can be first
-        rest = rest.join(order.select(F.col("r").alias("l"), F.col("_best").alias("_own")), "l").filter(F.col("_best") <= F.col("_own")).drop("_own")
+        rest = rest.join(order.select(F.col("r").alias("l"), F.col("_best").alias("_own")), "l").filter(F.col("_best") < F.col("_own")).drop("_own")
     rest, found, n = cut_lineage(rest.select("l", "r", "_best")), None, 1
-    while True:
-        tried = top_per_key(rest, ["l"], [F.col("_best")], n).drop("_rank")
+    while not rest.isEmpty():
+        tried = cut_lineage(top_per_key(rest, ["l"], [F.col("_best")], n).drop("_rank"))
         first = cut_lineage(whole(tried).groupBy("l").agg(F.min_by("r", "_best").alias("r")))
         found = first if found is None else found.unionByName(first)
         rest = cut_lineage(rest.join(tried.select("l", "r"), ["l", "r"], "left_anti").join(first.select("l"), "l", "left_anti"))
-        if rest.isEmpty():
-            return found
         n *= 8
+    found = rest.select("l", "r") if found is None else found
+    return own.join(found, "l", "left").select("l", F.coalesce("r", "l").alias("r")) if same else found
 
 
 def similar_memory(new: DataFrame, stored: DataFrame, threshold: float = 0.8, pool: int | None = None) -> DataFrame:

@@ -222,3 +222,47 @@ def test_set_join_compares_few_sets_whole(spark):
         assert {(r.l, r.r) for r in J.set_join(d, right).collect()} == want
         first = {l: min((q[3], q[0]) for q in theirs if (l, q[0]) in want)[1] for l, _ in want}
         assert {r.l: r.r for r in J.set_join(d, right, best="place").collect()} == first
+
+
+def test_large_sets_are_told_apart_before_they_are_compared_whole(spark, monkeypatch):
+    """Unlike sets of some 2,000 tokens share rare ones and fill a short signature; only near ones may be written as candidates."""
+    from marketloom.operators import journal as J
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(6000)])
+    sets = [sorted(rng.choice(words, size=int(rng.integers(1800, 2200)), replace=False)) for _ in range(24)]
+    sets += [s[i + 1:] + [f"new{i}"] for i, s in enumerate(sets[:6])]
+    d = spark.createDataFrame([(i, "a", list(map(str, s)), 100 - i) for i, s in enumerate(sets)], "sid long, category string, toks array<string>, place int")
+    seen, cut = [], J.cut_lineage
+
+    def counted(x):
+        out = cut(x)
+        seen.extend([out.count()] if out.columns == ["l", "r", "_best"] else [])
+        return out
+
+    monkeypatch.setattr(J, "cut_lineage", counted)
+    got = {r.l: r.r for r in J.set_join(d, d, best="place").collect()}
+    assert got == {**{i: i for i in range(30)}, **{i: 24 + i for i in range(6)}}
+    assert max(seen) == 6
+
+
+def test_large_pairs_against_all_pairs(spark, monkeypatch):
+    """Sets on both sides of the limit, several tiles a band, missing categories, one table and two."""
+    from marketloom.operators import journal as J
+
+    monkeypatch.setattr(J, "LARGE", 32)
+    monkeypatch.setattr(J, "TILE", 64)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(140):
+        own = [f"c{i % 9}_{k}" for k in range(20 + 5 * (i % 9))]
+        drop = set(rng.choice(len(own), size=int(rng.integers(0, len(own) // 5)), replace=False).tolist())
+        rows.append((i, [None, "a", "b"][i % 9 % 3], [t for k, t in enumerate(own) if k not in drop] + [f"x{i}"], (i * 11) % 140))
+    kind = "sid long, category string, toks array<string>, place int"
+    d, other = spark.createDataFrame(rows, kind), spark.createDataFrame(rows[:60], kind)
+    alike = lambda p, q: p[1] == q[1] and len(set(p[2]) & set(q[2])) >= 0.8 * max(len(p[2]), len(q[2])) - 1e-9
+    for right, theirs in ((d, rows), (other, rows[:60])):
+        want = {(p[0], q[0]) for p in rows for q in theirs if alike(p, q)}
+        got = [(r.l, r.r) for r in J.set_join(d, right).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert {r.l: r.r for r in J.set_join(d, right, best="place").collect()} == {l: min((q[3], q[0]) for q in theirs if (l, q[0]) in want)[1] for l, _ in want}
