@@ -62,3 +62,32 @@ def test_model_features_take_no_long_frames(spark):
     lo, hi = p["low"].rolling(14).min(), p["high"].rolling(14).max()
     np.testing.assert_allclose(got["stoch_k"].to_numpy(dtype=float), (100 * (p["close"] - lo) / (hi - lo + 1e-8)).to_numpy(), atol=1e-6, equal_nan=True)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_relative_strength_stores_its_bars(spark, tmp_path):
+    """Bars are made once and never tagged for the as-of joins; a supplier that comes twice and one without a row leave the benchmark as it is."""
+    from marketloom.operators.asof import asof_join
+    from marketloom.plans import load_all
+    from marketloom.plans.catalog import REGISTRY
+    from marketloom.sources import tables as src
+
+    load_all()
+    day = "timestamp '2020-01-01' + make_dt_interval(cast(id % 30 as int))"
+    li = spark.range(180).selectExpr("id as l_orderkey", "id as l_partkey", "id % 6 as l_suppkey", "1 as l_linenumber", "1.0D + id % 7 as l_quantity", "100.0D + id as l_extendedprice", f"{day} as l_shipdate")
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(0, 0), (1, 1), (2, 2), (2, 2), (3, 0), (4, 3)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, None)], "n_nationkey int, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    d = REGISTRY["features_relative_strength"].run(spark, str(tmp_path))
+    assert "FileScan" not in plan_of(d) and "Union" not in plan_of(d)
+    bars = src.bars_daily(spark, str(tmp_path))
+    want = asof_join(bars, src.benchmark_daily(spark, str(tmp_path)), prefix="bench", keys=(), columns=["close"]).join(src.sector_map(spark, str(tmp_path)), "symbol")
+    want = asof_join(want, src.sector_daily(spark, str(tmp_path)), prefix="sector", keys=("sector",), columns=["close"])
+    p = want.select("symbol", "timestamp", "close", "bench__close", "sector__close").orderBy("symbol", "timestamp").toPandas()
+    for c in ("bench__close", "sector__close"):
+        # every supplier but the one that comes twice has one row a day
+        one = p[p["symbol"] != "S00002"]
+        ret = (one[c] / one.groupby("symbol")[c].shift() - 1).to_numpy()
+        name = "bench_ret_h1" if c.startswith("bench") else "sector_ret_h1"
+        got = d.filter("symbol <> 'S00002'").orderBy("symbol", "timestamp").toPandas()[name].to_numpy(dtype=float)
+        np.testing.assert_allclose(got, ret, atol=2e-6, equal_nan=True)
+    assert d.count() == len(p) and d.filter("symbol = 'S00005'").isEmpty()
